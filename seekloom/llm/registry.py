@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing
+from . import bpe, jaccard_join, mixing
 
 
 def _documents(operator):
@@ -12,9 +12,13 @@ def _documents(operator):
 def queries() -> dict:
     return {
         "op3_bpe": _documents(bpe.op3_bpe),
+        "op10_jaccard": _documents(jaccard_join.op10_jaccard),
         "op9_mix": _documents(mixing.op9_mix),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix": mixing.ORACLE}
+    return {
+        "op10_jaccard": jaccard_join.ORACLE,
+        "op9_mix": mixing.ORACLE,
+    }
