@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, mixing
+from . import bpe, jaccard_join, langid, mixing
 
 
 def _documents(operator):
@@ -13,6 +13,7 @@ def queries() -> dict:
     return {
         "op3_bpe": _documents(bpe.op3_bpe),
         "op10_jaccard": _documents(jaccard_join.op10_jaccard),
+        "op6_langid": _documents(langid.op6_langid),
         "op9_mix": _documents(mixing.op9_mix),
     }
 
