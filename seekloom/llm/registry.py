@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, langid, mixing
+from . import bpe, jaccard_join, langid, mixing, pii
 
 
 def _documents(operator):
@@ -11,6 +11,7 @@ def _documents(operator):
 
 def queries() -> dict:
     return {
+        "op1_pii": _documents(pii.op1_pii),
         "op3_bpe": _documents(bpe.op3_bpe),
         "op10_jaccard": _documents(jaccard_join.op10_jaccard),
         "op6_langid": _documents(langid.op6_langid),
