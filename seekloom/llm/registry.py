@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, langid, mixing, pii
+from . import bpe, jaccard_join, langid, mixing, pii, topk, warc
 
 
 def _documents(operator):
@@ -12,8 +12,10 @@ def _documents(operator):
 def queries() -> dict:
     return {
         "op1_pii": _documents(pii.op1_pii),
+        "op2_topk": lambda spark, sf_dir: topk.op2_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
         "op3_bpe": _documents(bpe.op3_bpe),
         "op10_jaccard": _documents(jaccard_join.op10_jaccard),
+        "op4_warc": lambda spark, sf_dir: warc.op4_warc(spark.read.parquet(f"{sf_dir}/pages.parquet")),
         "op6_langid": _documents(langid.op6_langid),
         "op9_mix": _documents(mixing.op9_mix),
     }
@@ -21,6 +23,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_topk": topk.ORACLE,
+        "op4_warc": warc.ORACLE,
         "op10_jaccard": jaccard_join.ORACLE,
         "op9_mix": mixing.ORACLE,
     }
