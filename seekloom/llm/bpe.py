@@ -109,6 +109,24 @@ def digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenized(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
+    """(doc_id, lang, source) with n_tokens, the ids as little-endian unsigned 32-bit integers, and digests of both directions."""
+    names = ["doc_id", "lang", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                ids = encode(text, ranks_path)
+                data = ids.tobytes()
+                rows.append((len(ids), data, hashlib.sha256(data).hexdigest(), hashlib.sha256(encoding(ranks_path).decode_bytes(ids.tolist())).hexdigest()))
+            arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:3]], *arrays], names=names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
+    return rows.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, token_ids binary, ids_sha256 string, decoded_sha256 string")
+
+
 def op3_bpe(docs: DataFrame) -> DataFrame:
     """Contract query: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return digests(docs)

@@ -6,9 +6,10 @@ separates anything:
 
 * Equal sets are one class (128-bit digest of the set).
 * Linked sets share one of their rarest shingles (the first n - ceil(t * n) + 1 in
-  one global order). The order comes from a count sketch of fixed size over all
-  shingles; any order is exact, a good one keeps the neighbourhoods small. Sets
-  connected by such shingles form the top regions; no link leaves one.
+  one global order), and their sizes differ by a factor of t at most. The order
+  comes from a count sketch of fixed size over all shingles; any order is exact,
+  a good one keeps the neighbourhoods small. Sets of like size connected by such
+  shingles form the top regions; no link leaves one.
 
 A region of more than LEAF sets is cut around pivots: a set belongs to the cell
 of its nearest pivot, or to the far cell if every pivot is at least 1 - r away.
@@ -32,7 +33,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import remove, save, save_at
@@ -46,6 +47,8 @@ PERCENT = 90
 LEAF = 192
 #: Pivots of one cut.
 PIVOTS = 4
+#: The list of sets to compare is broadcast up to so many rows (some 25 MB); beyond, texts are shuffled to it.
+BROADCAST_ROWS = 400_000
 #: log2 of the counters of the sketch; its size does not depend on the input.
 SKETCH_BITS = 24
 _SKETCH_BLOCK = 1 << 14
@@ -118,19 +121,19 @@ def _prefixes(docs: DataFrame, width: int, percent: int, bits: int, levels) -> D
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(sid, shingles) of rows that still carry text and the sid wanted of them."""
+    """(region, sid, shingles) of rows that still carry text and the sid wanted of them."""
 
     def run(batches):
         for batch in batches:
-            sid, sets = [], []
-            wanted = batch.column("sid").to_pylist()
-            for want, s in zip(wanted, sets_of(batch.column("text").to_pylist(), width), strict=True):
+            region, sid, sets = [], [], []
+            for r, want, s in zip(batch.column("region").to_pylist(), batch.column("sid").to_pylist(), sets_of(batch.column("text").to_pylist(), width), strict=True):
                 if len(s) and _digest(s) == want:
+                    region.append(r)
                     sid.append(want)
                     sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(region, pa.int64()), pa.array(sid, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["region", "sid", "shingles"])
 
-    return docs.select("text", "sid").mapInArrow(run, "sid binary, shingles array<long>")
+    return docs.select("region", "sid", "text").mapInArrow(run, "region long, sid binary, shingles array<long>")
 
 
 def linked(a: int, b: int, common: int, percent: int = PERCENT) -> bool:
@@ -243,38 +246,46 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: i
     rows = scan.where("block is null").select("doc_id", "n", "sid")
     levels = spark.sparkContext.broadcast(zlib.compress(_levels(scan.where("block is not null").select("block", "counts"), bits).tobytes(), 1))
 
-    kinds = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    kinds = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"))
     kinds = save(kinds.withColumn("s", _little_endian(F.col("sid"))), "classes")
 
     prefix, prefix_path = save_at(_prefixes(docs, width, percent, bits, levels), "prefixes")
     shared = prefix.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo != hi").select(F.col("token").alias("t"))
     blocks = prefix.join(shared, F.col("token") == F.col("t"), "left_semi").distinct()
-    blocks = save(blocks.join(kinds.select(F.col("s").alias("_s"), "sid"), F.col("s") == F.col("_s")).select("token", "sid"), "blocks")
+    # linked sets differ in size by a factor of percent / 100 at most: their steps on that scale are equal or neighbours
+    step = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) * 0.999999).cast("int")
+    blocks = blocks.join(kinds.select(F.col("s").alias("_s"), "sid", "n"), F.col("s") == F.col("_s")).select("token", "sid", F.explode(F.array(step, step + 1)).alias("step"))
+    blocks, blocks_path = save_at(blocks, "blocks")
+    head = blocks.groupBy("token", "step").agg(F.min("sid").alias("b"), F.max("sid").alias("_hi")).where("b != _hi").select(F.col("token").alias("_t"), F.col("step").alias("_p"), "b")
+    near = blocks.join(head, (F.col("token") == F.col("_t")) & (F.col("step") == F.col("_p")))
+    regions = save(components(near.select(F.col("sid").alias("a"), "b")), "regions")
     remove(spark, prefix_path)
+    remove(spark, blocks_path)
 
-    head = blocks.groupBy("token").agg(F.min("sid").alias("b")).withColumnRenamed("token", "_t")
-    regions = save(components(blocks.join(head, F.col("token") == F.col("_t")).select(F.col("sid").alias("a"), "b")), "regions")
-    wanted = regions.select("node").join(kinds, F.col("node") == F.col("sid")).select(F.col("rep").alias("_rep"), "sid")
-    found = _sets(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))), width).groupBy("sid").agg(F.first("shingles").alias("shingles"))
-    members = found.join(regions, F.col("sid") == F.col("node")).select(F.xxhash64("root").alias("region"), "sid", "shingles")
-    members = save(members, "members")
+    sized = regions.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "_root")
+    wanted = regions.join(sized, F.col("root") == F.col("_root")).join(kinds, F.col("node") == F.col("sid"))
+    wanted = save(wanted.select(F.col("rep").alias("_rep"), "sid", F.xxhash64("root").alias("region"), "size"), "wanted")
 
-    links = None
+    def fetched(part: DataFrame) -> DataFrame:
+        part = F.broadcast(part) if part.count() <= BROADCAST_ROWS else part
+        return _sets(docs.join(part, F.col("doc_id").eqNullSafe(F.col("_rep"))), width)
+
+    links = save(_join_leaves(fetched(wanted.where(F.col("size") <= LEAF)), percent), "links")
+    large = wanted.where(F.col("size") > LEAF)
     level = 0
-    while True:
-        sizes = save(members.groupBy("region").agg(F.count("*").alias("size")), "sizes").withColumnRenamed("region", "_r")
-        leaves = members.join(sizes.where(F.col("size").between(2, LEAF)), F.col("region") == F.col("_r"), "left_semi")
-        large = sizes.where(F.col("size") > LEAF)
-        more = not large.isEmpty()
-        if more:
+    if not large.isEmpty():
+        members = save(fetched(large), "large")
+        while True:
             level += 1
-            again, dense = _cut(save(members.join(large, F.col("region") == F.col("_r"), "left_semi"), "large"), percent, level)
-            leaves = leaves.unionByName(dense)
-        new = save(_join_leaves(leaves, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        if not more:
-            break
-        members = save(again, "members")
+            again, dense = _cut(members, percent, level)
+            again = save(again, "members")
+            sizes = save(again.groupBy("region").agg(F.count("*").alias("size")), "sizes").withColumnRenamed("region", "_r")
+            leaves = again.join(sizes.where(F.col("size").between(2, LEAF)), F.col("region") == F.col("_r"), "left_semi")
+            links = links.unionByName(save(_join_leaves(leaves.unionByName(dense), percent), "links"))
+            large = sizes.where(F.col("size") > LEAF)
+            if large.isEmpty():
+                break
+            members = save(again.join(large, F.col("region") == F.col("_r"), "left_semi"), "large")
     same_doc = rows.where("doc_id is not null and sid is not null").groupBy("doc_id").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo != hi").select(F.col("doc_id").alias("_d"), F.col("lo").alias("b"))
     same_doc = rows.join(same_doc, F.col("doc_id") == F.col("_d")).select(F.col("sid").alias("a"), "b").where("a is not null")
     roots = components(links.unionByName(same_doc))
@@ -284,6 +295,24 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: i
     return rows.join(known, F.col("sid") == F.col("_sid"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each class left: that of the smallest doc_id. Same columns.
+
+    Rows that repeat a kept doc_id are reduced to one; rows without a doc_id stay.
+    """
+    found = save(classes(docs, width, percent), "near-classes")
+    repeated = save(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_d")), "repeated")
+    losers = save(found.where("doc_id != component_id").select(F.col("doc_id").alias("_d")).unionByName(repeated).distinct(), "losers")
+    gone = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
+    kept = docs.join(gone, docs["doc_id"] == F.col("_d"), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    heads = repeated.join(found.where("doc_id = component_id").select("doc_id"), F.col("_d") == F.col("doc_id"), "left_semi")
+    one = docs.join(heads, docs["doc_id"] == F.col("_d"), "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64(*docs.columns))
+    return kept.unionByName(one.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
+
+
 def _little_endian(sid):
     """The first eight bytes of a binary as a signed little-endian long."""
     digits = F.hex(sid)

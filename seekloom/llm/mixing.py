@@ -32,6 +32,8 @@ SEED = "mix-1"
 DIGITS = 3
 #: The table of sources is broadcast up to so many rows; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 50_000
+#: Likewise the table of repeats per document (some 25 MB) in mix().
+BROADCAST_CHOICES = 400_000
 
 
 def order_key(doc_id: Column, seed: str) -> Column:
@@ -106,6 +108,8 @@ def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     sized = save(tagged.select("doc_id", "source", F.col("_size").alias("size")), "mix-sizes")
     chosen = plan(sized, seed, **shares).groupBy("doc_id", "source", "size").agg(F.max("repeats").alias("_n")).where("_n > 0")
     chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("source").alias("_src"), F.col("size").alias("_sz"), "_n")
+    chosen = save(chosen, "mix-chosen")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_CHOICES else chosen
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_sz"))
     return tagged.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*names)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, langid, mixing, pii, topk, warc
+import corpus_pipeline
+
+from . import bpe, jaccard_join, langid, mixing, pii, quality, topk, warc
 
 
 def _documents(operator):
@@ -16,15 +18,21 @@ def queries() -> dict:
         "op3_bpe": _documents(bpe.op3_bpe),
         "op10_jaccard": _documents(jaccard_join.op10_jaccard),
         "op4_warc": lambda spark, sf_dir: warc.op4_warc(spark.read.parquet(f"{sf_dir}/pages.parquet")),
+        "op5_quality": _documents(quality.op5_quality),
         "op6_langid": _documents(langid.op6_langid),
         "op9_mix": _documents(mixing.op9_mix),
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    known = {
+        "op5_quality": quality.ORACLE,
         "op2_topk": topk.ORACLE,
         "op4_warc": warc.ORACLE,
         "op10_jaccard": jaccard_join.ORACLE,
         "op9_mix": mixing.ORACLE,
     }
+    if corpus_pipeline.ORACLE_SQL:
+        known["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return known
