@@ -18,6 +18,8 @@ language that sorts first; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -91,10 +93,11 @@ class Model:
     def __init__(self, tf: np.ndarray, langs: list[str], centroids: int = CENTROIDS):
         self.langs = sorted(set(langs))
         grams = tf.sum(1)
-        tf = np.log1p(tf)
-        df = (tf > 0).sum(0)
+        df = np.count_nonzero(tf, 0)
         self.idf = np.log((1 + len(tf)) / (1 + df)).astype(np.float32) + 1
-        rows = unit(tf * self.idf)
+        rows = np.log1p(tf)
+        rows *= self.idf
+        rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-12)[:, None]
         label = np.array([self.langs.index(x) for x in langs])
         centers, owner, limits = [], [], []
         for k in range(len(self.langs)):
@@ -153,25 +156,30 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     if not found:
         return Model(np.zeros((0, DIMENSIONS), np.float32), [])
     each = max(1, sample_rows // len(found))
-    # 62 bits of the hash as a number from 0 to 1; twice the share, so that enough rows are below it
+    # 62 bits of the hash as a number from 0 to 1; a little more than the share, so that enough rows are below it
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("langid")), 2) / F.lit(float(2**62))
-    share = F.lit(2.0 * each) / F.element_at(F.create_map(*[F.lit(x) for k, v in found.items() for x in (k, float(v))]), F.col("lang"))
+    share = F.lit(1.25 * each + 20) / F.element_at(F.create_map(*[F.lit(x) for k, v in found.items() for x in (k, float(v))]), F.col("lang"))
     picked = rows.withColumn("u", u).where(F.col("lang").isin(list(found)) & ((F.col("u") <= share) | (share >= 1)))
 
-    def run(batches):
+    def vectors(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            vectors = [v.tobytes() for g in _groups(texts) for v in np.minimum(counts(g), 65535).astype(np.uint16)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("u"), pa.array(vectors, pa.binary())], names=["lang", "u", "v"])
-
-    vectors = picked.mapInArrow(run, "lang string, u double, v binary").orderBy("u", "lang", "v").limit(2 * sample_rows).collect()
-    taken: dict[str, list[bytes]] = {k: [] for k in found}
-    for r in vectors:
-        if len(taken[r.lang]) < each:
-            taken[r.lang].append(r.v)
-    langs = [k for k in sorted(taken) for _ in taken[k]]
-    tf = np.stack([np.frombuffer(v, np.uint16) for k in sorted(taken) for v in taken[k]]).astype(np.float32)
-    return Model(tf, langs)
+            rows = [v.tobytes() for g in _groups(texts) for v in np.minimum(counts(g), 65535).astype(np.uint16)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("u"), pa.array(rows, pa.binary())], names=["lang", "u", "v"])
+
+    def learn(batches):
+        taken: dict[str, list[bytes]] = {k: [] for k in found}
+        for batch in batches:
+            for lang, v in zip(batch.column("lang").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                if len(taken[lang]) < each:
+                    taken[lang].append(v)
+        langs = [k for k in sorted(taken) for _ in taken[k]]
+        tf = np.stack([np.frombuffer(v, np.uint16) for k in sorted(taken) for v in taken[k]]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model(tf, langs))], pa.binary())], names=["model"])
+
+    # the bounded sample meets in one task, which returns the model alone
+    sample = picked.mapInArrow(vectors, "lang string, u double, v binary").orderBy("u", "lang", "v").limit(int(1.25 * sample_rows) + 20 * len(found))
+    return pickle.loads(sample.mapInArrow(learn, "model binary").first().model)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
