@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, jaccard_join, langid, lm, mixing, pii, quality, topk, warc
+from . import bpe, html_text, jaccard_join, langid, lm, mixing, pii, quality, topk, warc
 
 
 def _documents(operator):
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op4_warc": lambda spark, sf_dir: warc.op4_warc(spark.read.parquet(f"{sf_dir}/pages.parquet")),
         "op5_quality": _documents(quality.op5_quality),
         "op6_langid": _documents(langid.op6_langid),
+        "op7_html": lambda spark, sf_dir: html_text.op7_html(spark.read.parquet(f"{sf_dir}/pages.parquet")),
         "op8_lm": _documents(lm.op8_lm),
         "op9_mix": _documents(mixing.op9_mix),
         "pipeline": corpus_pipeline.run,
