@@ -85,12 +85,11 @@ def pagerank(edges: DataFrame, rounds: int | None = None, tol: float = EPSILON,
         given = links.join(scores, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("score") / F.col("_out")).alias("_in"))
         new = scores.select("node", "dangling", F.col("score").alias("_was")).join(given, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(lost))
         new = new.select("node", "dangling", (F.lit((1 - damping) / n) + damping * F.col("_lost") / n + damping * F.coalesce("_in", F.lit(0.0))).alias("score"), "_was")
-        if rounds is None:
+        if (k + 1) % CUT_EVERY == 0:
             new = new.checkpoint()
-            if new.agg(F.max(F.abs(F.col("score") - F.col("_was")))).first()[0] < tol:
+            # one look at convergence per cut; a few more rounds only come closer
+            if rounds is None and new.agg(F.max(F.abs(F.col("score") - F.col("_was")))).first()[0] < tol:
                 scores = new.drop("_was")
                 break
-        elif (k + 1) % CUT_EVERY == 0:
-            new = new.checkpoint()
         scores = new.drop("_was")
     return scores.select("node", "score")
