@@ -104,14 +104,14 @@ def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     and are repeated alike.
     """
     names = docs.columns
-    tagged = docs.withColumn("_size", n_words(F.col("text")))
-    sized = save(tagged.select("doc_id", "source", F.col("_size").alias("size")), "mix-sizes")
-    chosen = plan(sized, seed, **shares).groupBy("doc_id", "source", "size").agg(F.max("repeats").alias("_n")).where("_n > 0")
-    chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("source").alias("_src"), F.col("size").alias("_sz"), "_n")
+    tagged = docs.withColumn("__mix_size", n_words(F.col("text")))
+    sized = save(tagged.select("doc_id", "source", F.col("__mix_size").alias("size")), "mix-sizes")
+    chosen = plan(sized, seed, **shares).groupBy("doc_id", "source", "size").agg(F.max("repeats").alias("__mix_n")).where("__mix_n > 0")
+    chosen = chosen.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_sz"), "__mix_n")
     chosen = save(chosen, "mix-chosen")
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_CHOICES else chosen
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_sz"))
-    return tagged.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*names)
+    same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_size") == F.col("__mix_sz"))
+    return tagged.join(chosen, same).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_n")))).select(*names)
 
 
 ORACLE = r"""
