@@ -18,7 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); a temporary one where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
-        return found.rstrip("/")
+        # with its scheme, so that Spark and Arrow mean the same store
+        where = spark._jvm.org.apache.hadoop.fs.Path(found)
+        full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+        return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="seekloom-")

@@ -134,31 +134,37 @@ def disclosing(texts: DataFrame, found: DataFrame, disclosure: float = DISCLOSUR
     return scored.where((p_e < 1) & (pmi >= disclosure * -F.log(p_e))).select("entity", "term")
 
 
-def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """docs with spans: array<struct<kind string, start int, end int>>, base ones by kind and start, then terms.
+def _find(docs: DataFrame, disclosure: float, support: int) -> DataFrame:
+    """docs with __pii_spans: array<struct<kind string, start int, end int>>, base ones by kind and start, then terms.
 
     The base spans of each row are found once and kept in the shared folder with
     their contexts, which are short; the texts are not written.
     """
-    tagged = docs.withColumn("_base", base_spans(F.coalesce(F.col("text"), F.lit(""))))
-    with_base = tagged.where(F.size("_base") > 0)
-    found = save(with_base.select(F.xxhash64("text").alias("text_id"), _contexts(F.col("text"), F.col("_base")).alias("contexts")), "pii-contexts")
+    tagged = docs.withColumn("__pii_base", base_spans(F.coalesce(F.col("text"), F.lit(""))))
+    with_base = tagged.where(F.size("__pii_base") > 0)
+    found = save(with_base.select(F.xxhash64("text").alias("text_id"), _contexts(F.col("text"), F.col("__pii_base")).alias("contexts")), "pii-contexts")
     flagged = save(disclosing(docs.select("text"), found, disclosure, support), "pii-flagged")
     # terms to generalise, per text: equal texts share them
     named = found.select("text_id", F.explode("contexts").alias("c")).select("text_id", "c.entity", F.explode("c.terms").alias("term")).distinct()
-    todo = named.join(flagged, ["entity", "term"]).groupBy("text_id").agg(F.sort_array(F.collect_set("term")).alias("_todo"))  # at most the terms of one text
-    todo = save(todo, "pii-todo").withColumnRenamed("text_id", "_id")
-    out = tagged.withColumn("_text_id", F.xxhash64("text")).join(todo, F.col("_text_id") == F.col("_id"), "left")
-    pattern = F.concat(F.lit(r"(?i)(?<!\p{L})(?:"), F.array_join("_todo", "|"), F.lit(r")(?!\p{L})"))
-    in_context = lambda t: F.exists("_base", lambda b: (t["end"] >= b["start"] - CONTEXT) & (t["start"] <= b["end"] + CONTEXT) & ((t["end"] <= b["start"]) | (t["start"] >= b["end"])))
-    inside = lambda t: F.exists("_base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"]))
-    terms = F.when(F.col("_todo").isNotNull(), F.filter(matches(F.col("text"), pattern), lambda t: in_context(t) & ~inside(t))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    todo = named.join(flagged, ["entity", "term"]).groupBy("text_id").agg(F.sort_array(F.collect_set("term")).alias("__pii_todo"))  # at most the terms of one text
+    todo = save(todo, "pii-todo").withColumnRenamed("text_id", "__pii_id")
+    out = tagged.withColumn("__pii_text", F.xxhash64("text")).join(todo, F.col("__pii_text") == F.col("__pii_id"), "left")
+    pattern = F.concat(F.lit(r"(?i)(?<!\p{L})(?:"), F.array_join("__pii_todo", "|"), F.lit(r")(?!\p{L})"))
+    in_context = lambda t: F.exists("__pii_base", lambda b: (t["end"] >= b["start"] - CONTEXT) & (t["start"] <= b["end"] + CONTEXT) & ((t["end"] <= b["start"]) | (t["start"] >= b["end"])))
+    inside = lambda t: F.exists("__pii_base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"]))
+    terms = F.when(F.col("__pii_todo").isNotNull(), F.filter(matches(F.col("text"), pattern), lambda t: in_context(t) & ~inside(t))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
     label = F.array(*[F.lit(k) for k in KINDS])
     spans = F.concat(
-        F.transform("_base", lambda b: F.struct(F.get(label, b["kind"]).alias("kind"), b["start"].alias("start"), b["end"].alias("end"))),
+        F.transform("__pii_base", lambda b: F.struct(F.get(label, b["kind"]).alias("kind"), b["start"].alias("start"), b["end"].alias("end"))),
         F.transform(terms, lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"))),
     )
-    return out.select(*docs.columns, spans.alias("spans"))
+    return out.select(*docs.columns, spans.alias("__pii_spans"))
+
+
+def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """docs with spans: array<struct<kind string, start int, end int>>; a column of that name is replaced."""
+    kept = [c for c in docs.columns if c != "spans"]
+    return _find(docs, disclosure, support).select(*kept, F.col("__pii_spans").alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -174,15 +180,15 @@ def op1_pii(docs: DataFrame) -> DataFrame:
 
 def sanitize(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """docs with every span replaced by its mask, and n_chars (if there) set anew. Overlapping spans become one."""
-    found = find(docs, disclosure, support)
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    found = _find(docs, disclosure, support)
+    ordered = F.array_sort(F.transform("__pii_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     masks = F.create_map(*[F.lit(x) for k in MASKS.items() for x in k])
     step = lambda acc, s: F.when(-s["back"] <= acc["at"], acc).otherwise(
         F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(masks, s["kind"]))).otherwise(F.lit(""))).alias("out"))
     )
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     masked = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
+    out = found.withColumn("text", F.when(F.size("__pii_spans") > 0, masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("__pii_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -49,7 +49,7 @@ def test_base_spans_equal_brute_force(documents):
 
 def test_terms_that_give_an_entity_away_are_masked(documents):
     texts = [f"Boss Zaphodius writes from z@heart.org about number {w} today" for w in ("uno", "dos", "tres")] + [f"an ordinary text {k} about number of things from today" for k in range(60)]
-    frame = documents(texts)
+    frame = documents(texts, extra=True)
     spans = {r.doc_id: r.spans for r in pii.op1_pii(frame).collect()}
     assert "term:5:14" in spans[0].split(",") and "term" not in spans[10]
     clean = {r.doc_id: r for r in pii.sanitize(frame).collect()}
