@@ -7,8 +7,8 @@ separates anything:
 * Equal sets are one class (128-bit digest of the set).
 * Linked sets share one of their rarest shingles (the first n - ceil(t * n) + 1 in
   one global order), and their sizes differ by a factor of t at most. The order
-  comes from a count sketch of fixed size over all shingles; any order is exact,
-  a good one keeps the neighbourhoods small. Sets of like size connected by such
+  comes from a count sketch over all shingles; any order is exact, a good one
+  keeps the neighbourhoods small. Sets of like size connected by such
   shingles form the top regions; no link leaves one.
 
 A region of more than LEAF sets is cut around pivots: a set belongs to the cell
@@ -49,52 +49,65 @@ LEAF = 192
 PIVOTS = 4
 #: The list of sets to compare is broadcast up to so many rows (some 25 MB); beyond, texts are shuffled to it.
 BROADCAST_ROWS = 400_000
-#: log2 of the counters of the sketch; its size does not depend on the input.
-SKETCH_BITS = 24
-_SKETCH_BLOCK = 1 << 14
+#: Likewise the shingles that two sets share (16 bytes each); beyond, the rare shingles are shuffled a second time.
+BROADCAST_TOKENS = 1_500_000
+#: Counters of the sketch: about one for two shingles of the corpus, within these powers of two.
+LEAST_BITS, MOST_BITS = 16, 28
+_SKETCH_BLOCK = 1 << 16
 
 
 def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def sketch_bits(docs: DataFrame) -> int:
+    """Counters in proportion to the corpus, some six bytes a word, so that noise in the order does not grow with it."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(np.clip(np.ceil(np.log2(max(1, size) / 12)), LEAST_BITS, MOST_BITS))
+
+
 def _scan(docs: DataFrame, width: int, bits: int) -> DataFrame:
     """(doc_id, n, sid) of every row, and at each task's end its part of the sketch as (block, counts)."""
 
     def run(batches):
-        counts = np.zeros(1 << bits, np.uint32)
+        counts = np.zeros(1 << bits, np.uint8)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             n, sid = [], []
             for s in sets_of(batch.column("text").to_pylist(), width):
                 n.append(len(s))
                 sid.append(_digest(s) if len(s) else None)
-                np.add.at(counts, s >> np.uint64(64 - bits), 1)
+                at = s >> np.uint64(64 - bits)
+                seen = counts[at]
+                counts[at] = seen + (seen < 255)
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
-        for k, part in enumerate(counts.reshape(-1, min(_SKETCH_BLOCK, len(counts)))):
+        parts = counts.reshape(-1, min(_SKETCH_BLOCK, len(counts)))
+        for k, part in enumerate(parts):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, n long, sid binary, block int, counts binary")
 
 
-def _levels(parts: DataFrame, bits: int) -> np.ndarray:
-    """The summed sketch as one byte a counter, 4 * log2(1 + count)."""
-    blocks = max(1, (1 << bits) // _SKETCH_BLOCK)
+def _levels(parts: DataFrame, bits: int, shingles: int) -> np.ndarray:
+    """The summed sketch at four bits a counter, two in a byte: fine steps around the usual count, coarse ones above."""
+    usual = shingles / 2**bits
+    limits = max(0.0, usual - 2) + max(1.0, (usual / 2) ** 0.5) * np.array([1.5, 2.5, 3.5, 4.5, 5.5, 7.5, 10, 14, 20, 40, 80, 160, 500, 2000, 10000])
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64)
-                sums[k] = sums[k] + part if k in sums else part
+                part = np.frombuffer(zlib.decompress(data), np.uint8)
+                sums[k] = sums[k] + part if k in sums else part.astype(np.int64)
         for k, v in sums.items():
-            level = np.minimum(255, np.floor(4 * np.log2(1 + v))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
+            level = np.searchsorted(limits, v).astype(np.uint8).reshape(-1, 2)
+            packed = level[:, 0] | level[:, 1] << 4
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed.astype(np.uint8).tobytes()], pa.binary())], names=["block", "level"])
 
-    levels = np.zeros(1 << bits, np.uint8).reshape(blocks, -1)
-    for row in parts.repartition("block").mapInArrow(run, "block int, level binary").collect():  # the sketch's fixed size
+    levels = np.zeros((1 << bits) // 2, np.uint8).reshape(max(1, (1 << bits) // _SKETCH_BLOCK), -1)
+    for row in parts.repartition("block").mapInArrow(run, "block int, level binary").toLocalIterator():  # 128 MB at most, by MOST_BITS
         levels[row.block] = np.frombuffer(row.level, np.uint8)
     return levels.ravel()
 
@@ -109,7 +122,9 @@ def _prefixes(docs: DataFrame, width: int, percent: int, bits: int, levels) -> D
             for s in sets_of(batch.column("text").to_pylist(), width):
                 if len(s):
                     take = len(s) - (len(s) * percent + 99) // 100 + 1
-                    order = (level[s >> np.uint64(64 - bits)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                    at = s >> np.uint64(64 - bits)
+                    common = (level[at >> np.uint64(1)] >> ((at & np.uint64(1)) << np.uint64(2)).astype(np.uint8)) & 15
+                    order = (common.astype(np.uint64) << np.uint64(60)) | (s >> np.uint64(4))
                     tokens.append(s[np.argpartition(order, take - 1)[:take]])
                     owner.append(np.full(take, np.frombuffer(_digest(s)[:8], "<i8")[0]))
             if tokens:
@@ -238,19 +253,23 @@ def _cut(members: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataF
     return again, dense
 
 
-def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
+def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_shingles, component_id), one row per row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bits = sketch_bits(docs)
     scan, _ = save_at(_scan(docs, width, bits), "shingle-scan")
     rows = scan.where("block is null").select("doc_id", "n", "sid")
-    levels = spark.sparkContext.broadcast(zlib.compress(_levels(scan.where("block is not null").select("block", "counts"), bits).tobytes(), 1))
+    shingles = rows.agg(F.sum("n")).first()[0] or 0
+    levels = spark.sparkContext.broadcast(zlib.compress(_levels(scan.where("block is not null").select("block", "counts"), bits, shingles).tobytes(), 1))
 
     kinds = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"))
     kinds = save(kinds.withColumn("s", _little_endian(F.col("sid"))), "classes")
 
     prefix, prefix_path = save_at(_prefixes(docs, width, percent, bits, levels), "prefixes")
     shared = prefix.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo != hi").select(F.col("token").alias("t"))
+    shared = save(shared, "shared")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_TOKENS else shared
     blocks = prefix.join(shared, F.col("token") == F.col("t"), "left_semi").distinct()
     # linked sets differ in size by a factor of percent / 100 at most: their steps on that scale are equal or neighbours
     step = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) * 0.999999).cast("int")
@@ -301,16 +320,16 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Rows that repeat a kept doc_id are reduced to one; rows without a doc_id stay.
     """
     found = save(classes(docs, width, percent), "near-classes")
-    repeated = save(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_d")), "repeated")
-    losers = save(found.where("doc_id != component_id").select(F.col("doc_id").alias("_d")).unionByName(repeated).distinct(), "losers")
+    repeated = save(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__near_id")), "repeated")
+    losers = save(found.where("doc_id != component_id").select(F.col("doc_id").alias("__near_id")).unionByName(repeated).distinct(), "losers")
     gone = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
-    kept = docs.join(gone, docs["doc_id"] == F.col("_d"), "left_anti")
+    kept = docs.join(gone, docs["doc_id"] == F.col("__near_id"), "left_anti")
     if repeated.isEmpty():
         return kept
-    heads = repeated.join(found.where("doc_id = component_id").select("doc_id"), F.col("_d") == F.col("doc_id"), "left_semi")
-    one = docs.join(heads, docs["doc_id"] == F.col("_d"), "left_semi")
+    heads = repeated.join(found.where("doc_id = component_id").select("doc_id"), F.col("__near_id") == F.col("doc_id"), "left_semi")
+    one = docs.join(heads, docs["doc_id"] == F.col("__near_id"), "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64(*docs.columns))
-    return kept.unionByName(one.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
+    return kept.unionByName(one.withColumn("__near_n", F.row_number().over(first)).where("__near_n = 1").drop("__near_n"))
 
 
 def _little_endian(sid):

@@ -41,8 +41,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_of, new_path, save
-from .shingles import GROUP_BYTES, mix64, words
+from .shingles import mix64, words
 
+#: Texts are counted and scored in groups of about so many characters.
+GROUP_CHARS = 2_000_000
 #: Pairs that a task holds before it packs them.
 HELD_PAIRS = 4_000_000
 #: Ranges of hashes at least; a power of two not below the input's partitions is taken.
@@ -101,7 +103,7 @@ def _text_groups(texts: list[str | None]):
     at, size = 0, 0
     for k, t in enumerate(texts):
         size += len(t or "")
-        if size >= GROUP_BYTES:
+        if size >= GROUP_CHARS:
             yield texts[at : k + 1]
             at, size = k + 1, 0
     if at < len(texts):

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Texts are hashed in groups of about so many bytes, which bounds the memory of a task.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
