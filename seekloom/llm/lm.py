@@ -283,7 +283,7 @@ class Model:
         k, k_at = np.unique(pair_keys(before, word), return_inverse=True)
         (pair,) = self.look_up("pair", k, {"small": "u1"})
         uniform = 1.0 / (self.v + 1)
-        lower = self.gamma1 * uniform + (np.maximum(types - self.d1[np.clip(types, 1, 3) - 1], 0) / self.types if self.types else 0.0)
+        lower = self.gamma1 * uniform + (np.maximum(types - self.d1[np.clip(types, 1, 3) - 1], 0) / self.types if self.types else np.zeros(len(w)))
         known = total > 0
         gamma = np.where(known, (self.d[0] * one + self.d[1] * two + self.d[2] * more) / np.maximum(total, 1), 1.0)
         upper = np.maximum(pair - self.d[np.clip(pair, 1, 3) - 1], 0)[k_at] / np.maximum(total, 1)[v_at]
