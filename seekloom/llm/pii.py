@@ -5,14 +5,16 @@ the gaps and the matches, laid end to end, give every match's place in code
 points. The patterns are written with lookbehinds and possessive repeats, which
 find the same leftmost matches in linear time on any text.
 
-The method: a base match is a protected entity e, the words near it its
-context. Co-occurrence over the whole corpus tells how much a term t reveals:
-PMI(t, e) = log(p(e | t) / p(e)), against the entity's information content
-IC(e) = -log p(e). Where PMI >= DISCLOSURE * IC, that is p(e | t) >= p(e) ** (1 -
-DISCLOSURE), the term discloses the entity and is generalised in its context.
-p(e | t) needs the number of documents with t, counted over all texts. Pairs
-seen in fewer than SUPPORT different texts say nothing, so that copies of one
-document alone are no evidence.
+The method: a base match is a protected entity e, the words of its documents
+outside base matches its context. Co-occurrence by document over the whole corpus
+tells how much a term t reveals: PMI(t, e) = log(p(e | t) / p(e)), against the
+entity's information content IC(e) = -log p(e). Where PMI >= DISCLOSURE * IC, that
+is p(e | t) >= p(e) ** (1 - DISCLOSURE), the term discloses the entity and is
+generalised wherever it occurs, in documents without the entity too. p(e | t)
+needs the number of documents with t, counted over all texts. Pairs seen in fewer
+than SUPPORT different texts say nothing, so that copies of one document alone
+are no evidence. Terms are compared in lower case and found in a text by the
+forms it has them in, so letters of any script fold alike.
 
 Defined cases: a null text is empty and has no spans; a null doc_id is carried;
 repeated rows get the same spans each; an empty table gives an empty result;
@@ -36,8 +38,6 @@ PATTERNS = {
 }
 #: A text without any of these characters has no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Code points of context before and after an entity.
-CONTEXT = 40
 #: Share of an entity's information that a term may give away.
 DISCLOSURE = 0.8
 #: Different texts that a pair must occur in.
@@ -94,65 +94,71 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)])
 
 
-def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+def _sorted(spans: Column) -> Column:
+    """array<struct<start, back, kind>> by start, the longest first."""
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """array<struct<entity, terms>>: the terms within CONTEXT code points of each span, whole words only."""
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """text with by(kind) in place of each span; overlapping spans become one."""
+    step = lambda acc, s: F.when(-s["back"] <= acc["at"], acc).otherwise(
+        F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), by(s["kind"]))).otherwise(F.lit(""))).alias("out"))
+    )
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(_sorted(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
-    def near(s):
-        left = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, s["start"] - F.greatest(s["start"] - CONTEXT, F.lit(0)))
-        right = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-        # a word that the window's edge cuts is no term
-        left = F.when(s["start"] > CONTEXT, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-        right = F.regexp_replace(right, r"\p{L}+$", "")
-        return F.struct(F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"])).alias("entity"), _terms(F.concat(left, F.lit(" "), right)).alias("terms"))
 
-    return F.transform(spans, near)
+def _words(text: Column, spans: Column) -> Column:
+    """The different words outside the spans, as the text has them."""
+    outside = F.when(F.size(spans) > 0, _replaced(text, spans, lambda kind: F.lit(" "))).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)))
 
 
-def disclosing(texts: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) pairs whose co-occurrence in the corpus exceeds the threshold.
+def disclosing(rows: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(term): the terms whose co-occurrence with some entity in the corpus exceeds the threshold.
 
-    texts: (text) of all documents. found: (text_id, contexts) of those with base spans.
+    rows: (text_id, entities, words) of every document whose text is not null.
     """
-    pairs = found.select("text_id", F.explode("contexts").alias("c")).select("text_id", "c.entity", F.explode("c.terms").alias("term"))
-    # documents per pair, and how many different texts they have
-    pairs = pairs.groupBy("entity", "term", "text_id").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_texts")).where(F.col("n_texts") >= support)
-    pairs = save(pairs, "pii-pairs")
-    terms = pairs.select("term").distinct()
-    # document frequency of every term over all texts; only terms of a pair are looked up
-    df = texts.where("text is not null").select(F.explode(_terms(F.col("text"))).alias("_t")).groupBy("_t").agg(F.count("*").alias("n_term"))
-    df = save(df.join(terms, F.col("_t") == F.col("term"), "left_semi"), "pii-df")
-    n = texts.where("text is not null").select(F.count("*").alias("n_docs"))
-    entities = found.select(F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("_e")).groupBy("_e").agg(F.count("*").alias("n_entity"))
-    n_docs = float(n.first()[0] or 1)
-    scored = pairs.join(df, F.col("term") == F.col("_t")).join(entities, F.col("entity") == F.col("_e"))
+    n_docs = float(rows.count() or 1)
+    # copies of a text have its entities and terms
+    texts = rows.where(F.size("entities") > 0).groupBy("text_id").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words"))
+    texts = save(texts.withColumn("terms", F.array_distinct(F.transform("words", F.lower))).drop("words"), "pii-texts")
+    entities = texts.select("copies", F.explode("entities").alias("_e")).groupBy("_e").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("_n")).where(F.col("_n") >= support)
+    held = texts.select("text_id", "copies", F.explode("entities").alias("entity")).join(entities, F.col("entity") == F.col("_e")).select("text_id", "copies", "entity", "n_entity")
+    held = save(held, "pii-entities")
+    # p(e | t) reaches the threshold for at most so many documents with t, as n_both <= n_entity
+    most = (F.col("n_entity") * F.pow(F.lit(n_docs) / F.col("n_entity"), F.lit(1 - disclosure)) * (1 + 1e-9)).alias("most")
+    caps = held.groupBy("text_id").agg(F.max("n_entity").alias("n_entity")).select(F.col("text_id").alias("_id"), most)
+    named = save(texts.join(caps, F.col("text_id") == F.col("_id")).select("text_id", "most", F.explode("terms").alias("term")), "pii-terms")
+    # document frequency of every term over all texts; only terms that may pass are kept
+    df = rows.select(F.explode(F.array_distinct(F.transform("words", F.lower))).alias("_t")).groupBy("_t").agg(F.count("*").alias("n_term"))
+    df = save(df.join(named.groupBy("term").agg(F.max("most").alias("_most")), F.col("_t") == F.col("term")).where("n_term <= _most").select("_t", "n_term"), "pii-df")
+    rare = named.join(df, F.col("term") == F.col("_t")).where("n_term <= most").select(F.col("text_id").alias("_id"), "term", "n_term")
+    pairs = held.join(rare, F.col("text_id") == F.col("_id")).groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_texts"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
     p_e = F.col("n_entity") / F.lit(n_docs)
     pmi = F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) / p_e)
-    return scored.where((p_e < 1) & (pmi >= disclosure * -F.log(p_e))).select("entity", "term")
+    return pairs.where((F.col("n_texts") >= support) & (p_e < 1) & (pmi >= disclosure * -F.log(p_e))).select("term").distinct()
 
 
 def _find(docs: DataFrame, disclosure: float, support: int) -> DataFrame:
     """docs with __pii_spans: array<struct<kind string, start int, end int>>, base ones by kind and start, then terms.
 
-    The base spans of each row are found once and kept in the shared folder with
-    their contexts, which are short; the texts are not written.
+    The entities and different words of each row are found once and kept in the
+    shared folder; the texts are not written.
     """
     tagged = docs.withColumn("__pii_base", base_spans(F.coalesce(F.col("text"), F.lit(""))))
-    with_base = tagged.where(F.size("__pii_base") > 0)
-    found = save(with_base.select(F.xxhash64("text").alias("text_id"), _contexts(F.col("text"), F.col("__pii_base")).alias("contexts")), "pii-contexts")
-    flagged = save(disclosing(docs.select("text"), found, disclosure, support), "pii-flagged")
-    # terms to generalise, per text: equal texts share them
-    named = found.select("text_id", F.explode("contexts").alias("c")).select("text_id", "c.entity", F.explode("c.terms").alias("term")).distinct()
-    todo = named.join(flagged, ["entity", "term"]).groupBy("text_id").agg(F.sort_array(F.collect_set("term")).alias("__pii_todo"))  # at most the terms of one text
+    entity = lambda b: F.concat(b["kind"].cast("string"), F.lit(":"), F.lower(b["value"]))
+    rows = tagged.where("text is not null").select(F.xxhash64("text").alias("text_id"), F.array_distinct(F.transform("__pii_base", entity)).alias("entities"), _words(F.col("text"), F.col("__pii_base")).alias("words"))
+    rows = save(rows, "pii-words")
+    flagged = save(disclosing(rows, disclosure, support), "pii-flagged")
+    # the flagged words of each text in the forms it has them in: equal texts share them
+    spelt = rows.select("text_id", F.explode("words").alias("word"))
+    todo = spelt.join(flagged, F.lower("word") == F.col("term")).groupBy("text_id").agg(F.sort_array(F.collect_set("word")).alias("__pii_todo"))  # at most the words of one text
     todo = save(todo, "pii-todo").withColumnRenamed("text_id", "__pii_id")
     out = tagged.withColumn("__pii_text", F.xxhash64("text")).join(todo, F.col("__pii_text") == F.col("__pii_id"), "left")
-    pattern = F.concat(F.lit(r"(?i)(?<!\p{L})(?:"), F.array_join("__pii_todo", "|"), F.lit(r")(?!\p{L})"))
-    in_context = lambda t: F.exists("__pii_base", lambda b: (t["end"] >= b["start"] - CONTEXT) & (t["start"] <= b["end"] + CONTEXT) & ((t["end"] <= b["start"]) | (t["start"] >= b["end"])))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("__pii_todo", "|"), F.lit(r")(?!\p{L})"))
     inside = lambda t: F.exists("__pii_base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"]))
-    terms = F.when(F.col("__pii_todo").isNotNull(), F.filter(matches(F.col("text"), pattern), lambda t: in_context(t) & ~inside(t))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    terms = F.when(F.col("__pii_todo").isNotNull(), F.filter(matches(F.col("text"), pattern), lambda t: ~inside(t))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
     label = F.array(*[F.lit(k) for k in KINDS])
     spans = F.concat(
         F.transform("__pii_base", lambda b: F.struct(F.get(label, b["kind"]).alias("kind"), b["start"].alias("start"), b["end"].alias("end"))),
@@ -181,13 +187,8 @@ def op1_pii(docs: DataFrame) -> DataFrame:
 def sanitize(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """docs with every span replaced by its mask, and n_chars (if there) set anew. Overlapping spans become one."""
     found = _find(docs, disclosure, support)
-    ordered = F.array_sort(F.transform("__pii_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     masks = F.create_map(*[F.lit(x) for k in MASKS.items() for x in k])
-    step = lambda acc, s: F.when(-s["back"] <= acc["at"], acc).otherwise(
-        F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(masks, s["kind"]))).otherwise(F.lit(""))).alias("out"))
-    )
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    masked = _replaced(F.col("text"), F.col("__pii_spans"), lambda kind: F.element_at(masks, kind))
     out = found.withColumn("text", F.when(F.size("__pii_spans") > 0, masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("__pii_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -66,3 +66,11 @@ def test_empty_table(documents):
 def test_no_python_in_the_plan(documents):
     plan = pii.op1_pii(documents(["a@b.cd"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and F is not None
+
+
+def test_terms_are_masked_far_from_the_entity_and_without_it(documents):
+    far = " and then so it goes on and on until the end of it all"
+    texts = [f"Boss Zaphodius writes {w}{far * 3} z@heart.org" for w in ("uno", "dos", "tres")] + ["here is Zaphodius again"] + [f"an ordinary text {k} from today{far}" for k in range(60)]
+    clean = [r.text for r in pii.sanitize(documents(texts)).orderBy("doc_id").collect()]
+    assert clean[0].startswith("<TERM> <TERM> <TERM> uno and") and clean[0].endswith(" <EMAIL>")
+    assert clean[3] == "here is <TERM> again" and clean[10] == texts[10]
