@@ -74,3 +74,9 @@ def test_terms_are_masked_far_from_the_entity_and_without_it(documents):
     clean = [r.text for r in pii.sanitize(documents(texts)).orderBy("doc_id").collect()]
     assert clean[0].startswith("<TERM> <TERM> <TERM> uno and") and clean[0].endswith(" <EMAIL>")
     assert clean[3] == "here is <TERM> again" and clean[10] == texts[10]
+
+
+def test_terms_of_any_script_are_masked_in_any_case(documents):
+    texts = [f"{a} z@heart.org {w}" for a, w in (("Élodie ÜNALDI Łukasz Иванов ΝΙΚΟΣ", "uno"), ("ÉLODIE Ünaldi łukasz ИВАНОВ Νικος", "dos"))] + [f"an ordinary text {k} from today" for k in range(60)]
+    clean = [r.text for r in pii.sanitize(documents(texts)).orderBy("doc_id").collect()]
+    assert clean[:2] == ["<TERM> " * 5 + "<EMAIL> " + w for w in ("uno", "dos")]
