@@ -5,7 +5,10 @@ one space), term counts dampened by log, weighted by inverse document frequency
 and scaled to length one. Every learned language has several centroids, found by
 spherical k-means within the language; a text takes the language of the centroid
 of highest cosine. It is rejected if its distance to that centroid exceeds the
-largest usual distance of the centroid's training texts of about its length.
+largest usual distance of the centroid's training texts of about its length; where
+a language has few texts of a length, its longer ones thinned to that length count,
+and where it has few texts at all, those of all languages. Fewer than ENOUGH rows
+in all are no ground to reject.
 
 The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS in all,
 shared evenly among the languages, smallest hashes of doc_id first) and has a
@@ -36,6 +39,8 @@ QUANTILE = 0.995
 MARGIN = 0.15
 #: Texts are grouped by length for the rejection distance: bounds in n-grams.
 LENGTHS = (30, 100, 300, 1_000)
+#: Training distances that a limit is read from.
+ENOUGH = 20
 #: Texts are hashed in groups of about so many characters.
 GROUP_CHARS = 400_000
 
@@ -99,20 +104,41 @@ class Model:
         rows *= self.idf
         rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-12)[:, None]
         label = np.array([self.langs.index(x) for x in langs])
-        centers, owner, limits = [], [], []
+        centers, owner, limits, thinned = [], [], [], []
         for k in range(len(self.langs)):
             own = rows[label == k]
             found = self._cluster(own, min(centroids, len(own)))
             near = (own @ found.T).max(1)
             size = np.searchsorted(LENGTHS, grams[label == k])
             overall = 1 - near
-            limit = [min(0.995, (np.quantile(d, QUANTILE) if len(d := overall[size == s]) >= 20 else 0.99) + MARGIN) for s in range(len(LENGTHS) + 1)]
+            limit = [min(0.995, np.quantile(d, QUANTILE) + MARGIN) if len(d := overall[size == s]) >= ENOUGH else np.nan for s in range(len(LENGTHS) + 1)]
+            thinned.append([self._thinned(tf[label == k], own, found, s) if np.isnan(limit[s]) else np.zeros(0) for s in range(len(LENGTHS) + 1)])
             centers.append(found)
             owner += [k] * len(found)
-            limits += [limit] * len(found)
+            limits.append(limit)
+        for s in range(len(LENGTHS) + 1):
+            pooled = np.concatenate([x[s] for x in thinned]) if thinned else np.zeros(0)
+            for limit, own in zip(limits, thinned, strict=True):
+                if np.isnan(limit[s]):
+                    d = own[s] if len(own[s]) >= ENOUGH else pooled
+                    limit[s] = (q := np.quantile(d, QUANTILE)) + MARGIN * (1 - q) if len(d) >= ENOUGH else limit[s - 1] if s else 0.995
+        limits = [limits[k] for k in owner]
         self.centers = np.concatenate(centers).astype(np.float32) if centers else np.zeros((0, tf.shape[1]), np.float32)
         self.owner, self.limits = np.array(owner, int), np.array(limits)
 
+    def _thinned(self, tf: np.ndarray, rows: np.ndarray, centers: np.ndarray, size: int) -> np.ndarray:
+        """Distances of texts of this length or longer, thinned to the length's lower bound, to centroids that leave them out."""
+        low = LENGTHS[size - 1] if size else LENGTHS[0] // 3
+        nearest = np.argmax(rows @ centers.T, 1)
+        sums = np.stack([rows[nearest == j].sum(0) for j in range(len(centers))])
+        random, out = np.random.default_rng(size), []
+        for k in np.flatnonzero(tf.sum(1) > low):
+            left = sums[nearest[k]] - rows[k]
+            if (norm := np.sqrt(left @ left)) > 1e-6:
+                few = np.log1p(random.binomial(tf[k].astype(int), low / tf[k].sum())) * self.idf
+                out.append(1 - few @ left / norm / max(np.sqrt(few @ few), 1e-12))
+        return np.array(out)
+
     @staticmethod
     def _cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         """Spherical k-means, started from rows far from each other; no randomness."""

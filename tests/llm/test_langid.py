@@ -36,3 +36,15 @@ def test_lang_source_and_id_do_not_enter_a_prediction(documents):
     a = [r.lang_pred for r in langid.identify(frame, model).orderBy("doc_id").collect()]
     b = [r.lang_pred for r in langid.identify(frame.withColumn("lang", F.lit("zz")).withColumn("source", F.lit("q")), model).orderBy("doc_id").collect()]
     assert a == b == ["en", "de"] * 30
+
+
+def test_lengths_without_training_texts_reject_other_languages():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    words = ["".join(r.choice(list("abcdefgh"), 4)) for _ in range(60)]
+    texts = [" ".join(r.choice(words, 150)) for _ in range(60)]
+    model = langid.Model(langid.counts(texts), ["en"] * 60)
+    short = [" ".join(r.choice(words, 14)) for _ in range(50)]
+    foreign = [" ".join("".join(r.choice(list("абвгдежз"), 4)) for _ in range(14)) for _ in range(50)]
+    assert model.predict(short)[2].mean() < 0.1 and model.predict(foreign)[2].mean() > 0.9
