@@ -27,6 +27,9 @@ def web_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 60 / 10.0).alias("load"),
         (F.col("doc_id") % 6).cast("int").alias("intent"),
         (F.size(F.split(text, " ")) >= 500).alias("has_500_words"),
+        (F.col("doc_id") % 101).cast("double").alias("readability"),
+        (F.col("doc_id") % 13 * 100.0).alias("effort"),
+        (F.col("doc_id") % 2 == 0).alias("is_mobile"),
         (240000 + (F.col("doc_id") % 12 + 1) * 100 + F.col("doc_id") % 28 + 1).cast("int").alias("date"),
     )
 
@@ -38,6 +41,7 @@ docs AS (
          CASE lang WHEN 'de' THEN 'de' WHEN 'fr' THEN 'fr' WHEN 'es' THEN 'es' ELSE 'us' END AS loc,
          coalesce(toxic, 0) = 0 AS safe_s, coalesce(quality, 0) * 400.0::DOUBLE AS qna, (d.doc_id % 60) / 10.0::DOUBLE AS load,
          (d.doc_id % 6)::INTEGER AS intent, len(string_split(coalesce(text, ''), ' ')) >= 500 AS has_500_words,
+         (d.doc_id % 101)::DOUBLE AS readability, (d.doc_id % 13) * 100.0::DOUBLE AS effort, d.doc_id % 2 = 0 AS is_mobile,
          (240000 + (d.doc_id % 12 + 1) * 100 + d.doc_id % 28 + 1)::INTEGER AS date
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) q ON q.doc_id = d.doc_id
 )"""
