@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekloom.plans import analytics_queries, data_queries, search_queries
+from seekloom.plans import analytics_queries, data_queries, more_queries, search_queries
 
-_MODULES = (search_queries, data_queries, analytics_queries)
+_MODULES = (search_queries, data_queries, analytics_queries, more_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,12 @@ def thousands(n: Column) -> Column:
 def byte_size(n: Column) -> Column:
     step = lambda unit, name: F.concat(F.round(n / unit, 1).cast("string"), F.lit(" " + name))
     return F.when(n >= 1 << 30, step(1 << 30, "GB")).when(n >= 1 << 20, step(1 << 20, "MB")).when(n >= 1 << 10, step(1 << 10, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+
+
+#: What a search may be after.
+INTENTS = ("informational", "navigational", "transactional", "commercial", "local")
+
+
+def intent_label(intent: Column) -> Column:
+    """The name of an intent's number, "" for an unknown one."""
+    return F.coalesce(F.get(F.array(*[F.lit(x) for x in INTENTS]), intent.cast("int")), F.lit(""))

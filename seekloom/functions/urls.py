@@ -7,13 +7,19 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 #: Forms tried for a direct lookup.
 DIRECT_PREFIXES = ("", "www.", "http://", "http://www.", "https://", "https://www.")
 DIRECT_TLDS = (".com", ".net", ".org")
+#: Endings tried to discover a domain.
+DISCOVERY_TLDS = (
+    ".com", ".net", ".org", ".info", ".biz", ".co", ".io", ".dev", ".app", ".ai", ".tech", ".xyz", ".cloud", ".software", ".network", ".digital", ".me", ".tv", ".blog", ".design",
+    ".art", ".media", ".video", ".news", ".shop", ".store", ".agency", ".global", ".online", ".site", ".pro", ".company", ".uk", ".de", ".fr", ".nl", ".eu", ".it", ".es", ".pl",
+    ".ch", ".se", ".no", ".dk", ".fi", ".us", ".ca", ".mx", ".br", ".jp", ".cn", ".in", ".au", ".nz", ".sg",
+)
 
 
 def domain(url: Column, remove_www: bool = True) -> Column:
@@ -69,6 +75,19 @@ def direct_candidates(name: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("ord"), F.concat(F.lit(p), name, F.lit(t + "/")).alias("url")) for k, (t, p) in enumerate(forms)])
 
 
+def discovery_candidates(names: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(name) and indexed (url) -> (domain, url) to ask for: every ending whose four URL forms are all unknown."""
+    made = names.select("name").distinct().select(F.explode(F.array(*[F.concat("name", F.lit(t)) for t in DISCOVERY_TLDS])).alias("domain"))
+    forms = made.select("domain", F.explode(F.array(*[F.concat(F.lit(p), F.col("domain"), F.lit("/")) for p in ("https://", "https://www.", "http://", "http://www.")])).alias("_url"))
+    known = forms.join(indexed.select(F.col("url").alias("_url")).distinct(), "_url", "left_semi").select("domain").distinct()
+    return made.join(known, "domain", "left_anti").select("domain", F.concat(F.lit("https://"), "domain", F.lit("/")).alias("url"))
+
+
+def site_forms(site: Column) -> Column:
+    """The six addresses that site:x may mean."""
+    return F.array(*[F.concat(F.lit(p), site, F.lit("/")) for p in DIRECT_PREFIXES])
+
+
 def is_public_http(url: Column) -> Column:
     """http or https, and no loopback, link-local or private address."""
     host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))

@@ -88,3 +88,64 @@ def retained(counts: DataFrame, days: int = 30) -> DataFrame:
 
 def expected_bucket(us: float) -> int:
     return min(BUCKETS, math.floor(PER_E * math.log(max(1.0, us))))
+
+
+def index_size(segments: DataFrame, deletes: DataFrame, key: str = "doc_id", segment: str = "segment") -> DataFrame:
+    """(segment, live): documents of each segment without the deleted ones."""
+    return segments.join(deletes.select(key).distinct(), key, "left_anti").groupBy(segment).agg(F.count("*").alias("live"))
+
+
+def flushed(counters: DataFrame, buffered: DataFrame, *keys: str) -> DataFrame:
+    """Counters after one flush of buffered increments: both are (keys.., n)."""
+    both = counters.select(*keys, "n").unionByName(buffered.groupBy(*keys).agg(F.sum("n").alias("n")))
+    return both.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def ratio(part: Column, whole: Column, digits: int = 1) -> Column:
+    """A percentage as text, a dash where there is nothing to divide by."""
+    return F.when(whole > 0, F.concat(F.format_number(100.0 * part / whole, digits), F.lit("%"))).otherwise(F.lit("-"))
+
+
+def _fixed(x: Column, digits: int) -> Column:
+    """A number with so many digits, halves to the even one."""
+    return F.format_string(f"%.{digits}f", F.bround(x, digits))
+
+
+def sparkline(values: Column, width: float, height: float) -> Column:
+    """An SVG path through an array of numbers; under two of them, or equal ones, a level line."""
+    low, high, n = F.array_min(values), F.array_max(values), F.size(values)
+    step, plain = F.lit(float(width)) / (n - 1), lambda x: repr(int(x)) if float(x).is_integer() else repr(x)
+
+    def point(v: Column, i: Column) -> Column:
+        y = F.lit(float(height)) - ((v - low) / (high - low) * (height - 10.0) + 5.0)
+        return F.concat(F.when(i == 0, "M ").otherwise("L "), _fixed(i * step, 1), F.lit(","), _fixed(y, 1))
+
+    level = F.lit(f"M 0,{plain(height / 2)} L {plain(width)},{plain(height / 2)}")
+    return F.when((n < 2) | (high <= low), level).otherwise(F.array_join(F.transform(values, point), " "))
+
+
+def polyline(values: Column, counts: Column, most: Column) -> Column:
+    """SVG points of a daily series; days without a count leave no point."""
+    n = F.size(values)
+    step = F.when(n > 1, F.lit(300.0) / (n - 1)).otherwise(F.lit(0.0))
+    points = F.zip_with(values, counts, lambda v, c: F.struct(v.alias("v"), c.alias("c")))
+    drawn = F.transform(points, lambda p, i: F.when(p["c"] > 0, F.concat(_fixed(i * step, 1), F.lit(","), _fixed(F.lit(96.0) - p["v"] / most * 92.0, 1))))
+    return F.array_join(F.filter(drawn, lambda x: x.isNotNull()), " ")
+
+
+def bars(counts: Column) -> Column:
+    """array<struct<x, w, y, h, last>>: bars of a chart 300 by 100."""
+    n, most = F.greatest(F.size(counts), F.lit(1)), F.greatest(F.array_max(counts), F.lit(1))
+    slot = F.lit(300.0) / n
+
+    def bar(c: Column, i: Column) -> Column:
+        h = F.greatest(c / most * 96.0, F.when(c > 0, 2.0).otherwise(0.6))
+        return F.struct(_fixed(i * slot + slot * 0.15, 2).alias("x"), _fixed(slot * 0.70, 2).alias("w"), _fixed(100.0 - h, 2).alias("y"), _fixed(h, 2).alias("h"), (i + 1 == F.size(counts)).alias("last"))
+
+    return F.transform(counts, bar)
+
+
+def series_summary(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, first, last, low, high, change): a rate series in brief, change in percent of the first value."""
+    ends = rows.groupBy(key).agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return ends.withColumn("change", F.when(F.col("first") != 0, F.round((F.col("last") - F.col("first")) * 100.0 / F.col("first"), 2)).otherwise(F.lit(0.0)))

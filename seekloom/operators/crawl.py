@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekloom.functions.text import collapse, distinct_hits
+from seekloom.functions.urls import domain
 
 TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "span", "p", "a", "li", "label")
 MOST_VALUES = 20
@@ -101,3 +102,15 @@ def is_adult(url: Column, text: Column, bad=ADULT_WORDS, science=SCIENCE_WORDS,
     """By URL; else five distinct science words clear a text and three distinct bad words condemn it."""
     words = F.split(collapse(F.coalesce(text, F.lit(""))), "[^0-9A-Za-z]+")
     return F.when(F.regexp_like(F.lower(url), F.lit("|".join(parts))), True).when(distinct_hits(words, list(science)) >= 5, False).otherwise(distinct_hits(words, list(bad)) >= 3)
+
+
+_IMAGE = "struct<results:array<struct<url:string,title:string,thumbnail:struct<src:string>,properties:struct<url:string>,meta_url:struct<favicon:string>>>>"
+
+
+def image_results(answers: DataFrame, column: str = "json") -> DataFrame:
+    """JSON answers of an image engine -> one row per result with a url; missing paths are empty."""
+    item = F.explode(F.from_json(column, _IMAGE)["results"]).alias("r")
+    rest = [c for c in answers.columns if c != column]
+    text = lambda path, name: F.coalesce(F.col(path), F.lit("")).alias(name)
+    rows = answers.select(*rest, item).where(F.col("r.url").isNotNull())
+    return rows.select(*rest, text("r.thumbnail.src", "thumbnail"), text("r.properties.url", "image"), text("r.title", "title"), F.col("r.url").alias("site_url"), domain(F.col("r.url")).alias("site_domain"), text("r.meta_url.favicon", "favicon"))

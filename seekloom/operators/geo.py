@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -51,3 +51,23 @@ def range_lookup(rows: DataFrame, ranges: DataFrame, value: str, most_ranges: in
 def language_of(country: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     return F.coalesce(F.try_element_at(table, F.lower(country)), F.lit("all"))
+
+
+def countries(spark: SparkSession) -> DataFrame:
+    """(code, name, flag) of the ISO 3166 countries that the JVM knows: some 250 rows. A flag is its code in regional indicators."""
+    locale = spark._jvm.java.util.Locale
+    sign = lambda code: "".join(chr(0x1F1E6 + ord(c) - ord("A")) for c in code)
+    rows = [(c, locale("", c).getDisplayCountry(locale.ENGLISH), sign(c)) for c in locale.getISOCountries()]
+    return spark.createDataFrame(rows, "code string, name string, flag string")
+
+
+def named(rows: DataFrame, known: DataFrame, column: str = "country") -> DataFrame:
+    """rows with country_name and flag; unknown codes name themselves and have no flag."""
+    k = F.broadcast(known.select(F.col("code").alias("_code"), F.col("name").alias("_name"), F.col("flag").alias("_flag")))  # a row a country
+    out = rows.join(k, F.upper(F.col(column)) == F.col("_code"), "left")
+    return out.withColumn("country_name", F.coalesce("_name", F.col(column))).withColumn("flag", F.coalesce("_flag", F.lit(""))).drop("_code", "_name", "_flag")
+
+
+def place_of(places: Column, country: Column) -> Column:
+    """Of an array of struct<country, ..> the first in the user's country, else the first."""
+    return F.coalesce(F.get(F.filter(places, lambda p: p["country"] == country), F.lit(0)), F.get(places, F.lit(0)))

@@ -51,3 +51,30 @@ def next_batch(docs: DataFrame, progress: DataFrame, update_id: str, size: int,
     if row is None or row.next_id is None:
         return docs.limit(0)
     return docs.where((F.col(key) >= row.next_id) & (F.col(key) <= row.ceiling)).orderBy(key).limit(size)
+
+
+def save_progress(progress: DataFrame, done: DataFrame, path: str, key: str = "update_id") -> DataFrame:
+    """Merge newly done ranges (key, start, end) into the saved ones and write them to path as a new version; returns what is saved.
+
+    Versions are folders numbered upwards; the last complete one counts, so a
+    killed job resumes from the last save.
+    """
+    spark = progress.sparkSession
+    merged = merge_ranges(progress.select(key, "start", "end").unionByName(done.select(key, "start", "end")), key)
+    version = _versions(spark, path)[-1:] or [-1]
+    merged.write.parquet(f"{path}/v{version[0] + 1}")
+    return load_progress(spark, path, merged.schema)
+
+
+def _versions(spark, path: str) -> list[int]:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [s.getPath() for s in files.listStatus(root)]
+    return sorted(int(p.getName()[1:]) for p in names if p.getName()[1:].isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def load_progress(spark, path: str, schema) -> DataFrame:
+    versions = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/v{versions[-1]}") if versions else spark.createDataFrame([], schema)

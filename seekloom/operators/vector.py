@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from seekloom.functions.vectors import dot, is_nonzero, l2_normalize
 
 PROBES, CANDIDATES = 4, 200
+#: Centroids in one broadcast: some 60 MB at 384 dimensions.
+CENTROID_ROWS = 20_000
 
 
 def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
@@ -24,12 +26,23 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
     return rows.select("bucket_id", l2_normalize(F.col("m")).alias("centroid"))
 
 
-def assign(vectors: DataFrame, centers: DataFrame, max_centroid_rows: int = 1_000_000) -> DataFrame:
-    """vectors with bucket_id of the best centroid, the lowest id on ties; all-zero vectors are not indexed."""
-    packed = centers.agg(F.sort_array(F.collect_list(F.struct("bucket_id", "centroid"))).alias("_c"))
+def assign(vectors: DataFrame, centers: DataFrame, most: int = CENTROID_ROWS) -> DataFrame:
+    """vectors with bucket_id of the best centroid, the lowest id on ties; all-zero vectors are not indexed.
+
+    Centroids are broadcast in parts of at most most rows, each against the best so far.
+    """
+    n = centers.count()
     usable = vectors.where(F.col("embedding").isNotNull() & is_nonzero(F.col("embedding"))).withColumn("_u", l2_normalize(F.col("embedding")))
-    best = F.aggregate("_c", F.struct(F.lit(-2.0).alias("s"), F.lit(-1).alias("b")), lambda a, c: F.when(F.round(dot(F.col("_u"), c["centroid"]), 9) > a["s"], F.struct(F.round(dot(F.col("_u"), c["centroid"]), 9).alias("s"), c["bucket_id"].alias("b"))).otherwise(a), lambda a: a["b"])
-    return usable.crossJoin(F.broadcast(packed)).withColumn("bucket_id", best).drop("_c", "_u")
+    out = usable.withColumn("_best", F.struct(F.lit(-2.0).alias("s"), F.lit(-1).alias("b")))
+    parts = max(1, -(-n // most))
+    for k in range(parts):
+        part = centers.where(F.pmod(F.col("bucket_id"), F.lit(parts)) == k) if parts > 1 else centers
+        packed = part.agg(F.sort_array(F.collect_list(F.struct("bucket_id", "centroid"))).alias("_c"))
+        scores = F.transform("_c", lambda c: F.struct((-F.round(dot(F.col("_u"), c["centroid"]), 9)).alias("d"), c["bucket_id"].alias("b")))
+        out = out.crossJoin(F.broadcast(packed)).withColumn("_m", F.array_min(scores)).drop("_c")
+        better = F.col("_m").isNotNull() & ((-F.col("_m.d") > F.col("_best.s")) | ((-F.col("_m.d") == F.col("_best.s")) & (F.col("_m.b") < F.col("_best.b"))))
+        out = out.withColumn("_best", F.when(better, F.struct((-F.col("_m.d")).alias("s"), F.col("_m.b").alias("b"))).otherwise(F.col("_best"))).drop("_m")
+    return out.withColumn("bucket_id", F.col("_best.b")).drop("_best", "_u")
 
 
 def probes(centers: DataFrame, query: list[float], n: int = PROBES) -> DataFrame:

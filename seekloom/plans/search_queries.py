@@ -300,29 +300,99 @@ def fuse_engine_maps(spark, sf):
 # ------------------------------------------------------------------ ranking
 
 _LOAD_SQL = "CASE WHEN load < 0.2 THEN 1.08 WHEN load < 0.3 THEN 1.05 WHEN load < 0.5 THEN 1.02 WHEN load < 1.2 THEN 1.0 WHEN load < 2 THEN 0.9 WHEN load < 3.5 THEN 0.7 WHEN load < 5 THEN 0.4 ELSE 0.1 END::DOUBLE"
-_URL_SQL = "(CASE WHEN url LIKE 'https://%' THEN 1.3521680592049155::DOUBLE ELSE 1 END * 1.01::DOUBLE * pow(0.7579354778664352::DOUBLE, 2))"
-_HAND_SQL = f"({_URL_SQL} * {_LOAD_SQL} * CASE WHEN lang = 'en' THEN 1.01::DOUBLE ELSE 1 END * CASE WHEN contains(lower(title), 'the') THEN 1.3818951856263455::DOUBLE ELSE 1 END * (1 + greatest(-0.2, least(0.25, qna / 2400)))::DOUBLE)"
-
-
-@query("rank_hand_url_factors", r"""
-WITH u AS (SELECT page_id, url, regexp_replace(url, '[?#].*', '') AS bare, regexp_replace(url, '^[A-Za-z]+://', '') AS body, regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) AS host FROM pages WHERE url IS NOT NULL)
-SELECT page_id, round(CASE WHEN url LIKE 'https://%' THEN 1.3521680592049155::DOUBLE ELSE 1 END * CASE WHEN regexp_matches(host, '[.](dev|com)$') THEN 1.01::DOUBLE WHEN regexp_matches(host, '[.](org|net)$') THEN 1.0343461125773576::DOUBLE ELSE 1 END
-  * CASE WHEN contains(body, '_') OR contains(body, ',,') OR contains(body, ':') THEN 0.99::DOUBLE ELSE 1 END
-  * CASE WHEN length(bare) - length(replace(bare, '/', '')) - 2 > 0 THEN pow(0.7579354778664352::DOUBLE, length(bare) - length(replace(bare, '/', '')) - 2) ELSE 1 END, 9) AS factor FROM u""")
+_CLEAN = "regexp_replace(url, '[?#].*', '')"
+_BODY = f"(CASE WHEN contains({_CLEAN}, '://') THEN string_split({_CLEAN}, '://')[2] ELSE {_CLEAN} END)"
+_DEPTH = f"(length({_CLEAN}) - length(replace({_CLEAN}, '/', '')) - 2)"
+
+
+def _has(text: str, *parts: str) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{p}')" for p in parts) + ")"
+
+
+def _times(ok: str, x: float) -> str:
+    return f"CASE WHEN {ok} THEN {x!r}::DOUBLE ELSE 1 END"
+
+
+_URL_SQL = (
+    f"({_times(_CLEAN + " LIKE 'https://%'", 1.3521680592049155)} * CASE WHEN {_has(_CLEAN, '.dev', '.com')} THEN 1.01::DOUBLE WHEN {_has(_CLEAN, '.org', '.net')} THEN 1.0343461125773576::DOUBLE ELSE 1 END"
+    f" * {_times(_has(_BODY, '_', ',,', ':'), 0.99)} * CASE WHEN {_DEPTH} > 0 THEN pow(0.7579354778664352::DOUBLE, {_DEPTH}) ELSE 1 END)"
+)
+
+
+def _hand_sql(query: str, lang: str, loc: str, intent: int, mobile: bool = False) -> str:
+    """The boost as SQL over docs, written from the list of factors."""
+    rest = f"(CASE WHEN contains({_CLEAN}, '://') THEN string_split({_CLEAN}, '://')[2] ELSE '' END)"
+    root = f"string_split(regexp_replace(string_split({rest}, '/')[1], '^www[.]', ''), '.')[1]"
+    path = f"regexp_replace(regexp_extract({_CLEAN}, '^[A-Za-z]+://[^/]*/?(.*)$', 1), '/$', '')"
+    out = [_URL_SQL, _LOAD_SQL, _times(f"lang = '{lang}'", 1.01), _times(f"contains(lower(title), '{query.lower()}')", 1.3818951856263455), "(1 + greatest(-0.2, least(0.25, qna / 2400)))::DOUBLE"]
+    out.append(_times(f"lower(string_split(regexp_replace({rest}, '/+$', ''), '.')[-1]) = '{loc.lower()}'", 1.2))
+    out.append(f"CASE WHEN contains({_CLEAN}, '.wikipedia.org/wiki/') AND string_split({rest}, '.')[1] = '{lang}' THEN 1.3905070941466917::DOUBLE WHEN contains({_CLEAN}, '.wikipedia.org/wiki/') THEN 0.1::DOUBLE ELSE 1 END")
+    readable = "greatest(0, least(1, readability / 100))::DOUBLE"
+    if intent == 1:
+        out += [_times(f"lower({root}) = '{query.lower()}'", 4.164), _times(f"({path} = '' OR regexp_matches({path}, '^[A-Za-z-]{{2,7}}$'))", 1.8207127570559796)]
+    if intent == 3:
+        out += [_times(_has(_CLEAN, "/product/", "/item/", "review"), 1.2), _times(_has(_CLEAN, ".com", ".shop", ".store"), 1.1151867372193276)]
+    if intent == 0:
+        out += [_times(_has(_CLEAN, ".wikipedia.org"), 1.3623035283335967), _times(_has(_CLEAN, ".org", ".edu", ".gov"), 1.2588360222339798), _times(_has(_CLEAN, ".shop", "/product/"), 0.6423278191323988)]
+        words = query.split()
+        hard = sum(map(len, words)) > 7 * len(words)
+        out.append(f"(1 + ({'1 - ' if hard else ''}{readable}) * 0.001 * 1.4)")
+    if intent == 4:
+        out.append(_times(f"loc = '{loc}'", 1.242))
+    if intent in (2, 3):
+        out += ["(1 + greatest(0, least(0.2, qna / 1200)))::DOUBLE", _times("effort > 500", 0.85)]
+    if intent in (4, 5):
+        out += [f"(1 + {readable} * 0.001 * 10)", "(1 + greatest(0, least(0.5, effort / 1000))::DOUBLE * 0.26516713994470764::DOUBLE)"]
+    out.append(f"CASE WHEN has_500_words THEN {1.15 * (1.1 if intent in (0, 3) else 1.0)!r}::DOUBLE ELSE {0.9 if intent == 0 else 1.0}::DOUBLE END")
+    if mobile:
+        out.append("CASE WHEN is_mobile THEN 1.0 ELSE 1.0 END")
+    return "(" + " * ".join(out) + ")"
+
+
+#: URLs that reach the factors which the tables' own URLs do not.
+_VARIANTS = (
+    "https://en.wikipedia.org/wiki/Query", "https://de.wikipedia.org/wiki/A_b", "http://www.query.com/", "https://query.org/en-GB", "https://a.shop/product/1?x=c_d", "http://b.store/item/2,,3",
+    "https://c.net/review", "https://x.com.evil.io/a?b=c_d", "https://uni.edu/a/b/c", "https://d.dev:8080/x#y", "https://amt.us", "no scheme", "https://www.src1.example.com/d/1",
+)
+_VARIED_SQL = "WITH " + DOCS_SQL + ", u AS (SELECT i - 1 AS k, x AS url FROM (SELECT unnest(range(1, " + str(len(_VARIANTS) + 1) + ")) AS i, unnest([" + ", ".join(f"'{u}'" for u in _VARIANTS) + "]) AS x)), t AS (SELECT docs.* EXCLUDE (url), coalesce(u.url, docs.url) AS url FROM docs LEFT JOIN u ON u.k = doc_id % 20)"
+
+
+def _varied(spark, sf):
+    names = F.create_map(*[F.lit(x) for k, u in enumerate(_VARIANTS) for x in (k, u)])
+    return web_documents(spark, sf).withColumn("url", F.coalesce(F.try_element_at(names, (F.col("doc_id") % 20).cast("int")), F.col("url")))
+
+
+@query("rank_hand_url_factors", f"SELECT page_id, round({_URL_SQL}, 9) AS factor FROM pages WHERE url IS NOT NULL")
 def rank_hand_url_factors(spark, sf):
     p = table(spark, sf, "pages").where("url is not null")
     return p.select("page_id", F.round(ranking.url_factors(F.col("url")), 9).alias("factor"))
 
 
-@query("rank_hand_full", "WITH " + DOCS_SQL + f" SELECT doc_id, round({_HAND_SQL} * CASE WHEN has_500_words THEN 1.15::DOUBLE ELSE 1 END, 9) AS boost FROM docs")
+@query("rank_hand_full", _VARIED_SQL + f" SELECT doc_id, round({_hand_sql('the', 'en', 'us', 5)}, 9) AS boost FROM t")
 def rank_hand_full(spark, sf):
-    boost = ranking.hand_boost("the", "en", "us", ranking.UNKNOWN) * ranking.words_factor(ranking.UNKNOWN)
-    return web_documents(spark, sf).select("doc_id", F.round(boost, 9).alias("boost"))
+    boost = ranking.hand_boost("the", "en", "us", ranking.UNKNOWN) * ranking.usability_factor(ranking.UNKNOWN)
+    return _varied(spark, sf).select("doc_id", F.round(boost, 9).alias("boost"))
+
+
+@query("rank_hand_intents", _VARIED_SQL + " UNION ALL ".join(f" SELECT doc_id, {k}::INTEGER AS intent, '{q}' AS query, round({_hand_sql(q, 'en', 'us', k, True)}, 9) AS boost FROM t" for k in range(6) for q in ("query", "incomprehensibilities")))
+def rank_hand_intents(spark, sf):
+    d = _varied(spark, sf)
+
+    def case(k: int, q: str):
+        boost = ranking.hand_boost(q, "en", "us", k) * ranking.usability_factor(k, mobile=True)
+        return d.select("doc_id", F.lit(k).alias("intent"), F.lit(q).alias("query"), F.round(boost, 9).alias("boost"))
+
+    out = None
+    for k in range(6):
+        for q in ("query", "incomprehensibilities"):
+            out = case(k, q) if out is None else out.unionByName(case(k, q))
+    return out
 
 
 _RULES = [
     (1, "boost", "src1.example.com", "", 3.0), (1, "downrank", "src2.example.com", "", 3.0), (1, "discard", "src3.example.com", "", 1.0),
-    (2, "boost", "src1.example.com", "", 1.0), (2, "path", "", "/d/1", 1.2), (2, "important", "src4.example.com", "", 5.0),
+    (2, "boost", "src1.example.com", "", 1.0), (2, "path", "", "/d/1", 1.2), (1, "downrank", "src4.example.com", "", 1.0), (2, "important", "src4.example.com", "", 1.0), (2, "boost", "src4.example.com", "", 5.0),
+    (1, "important", "src2.example.com", "", 1.0), (3, "important", "src2.example.com", "", 1.0), (3, "boost", "src2.example.com", "", 1.0), (2, "boost", "src5.example.com", "", 2.0), (1, "important", "src5.example.com", "", 1.0),
 ]
 
 
@@ -332,18 +402,18 @@ def _rules(spark, kinds):
     return spark.createDataFrame([r for r in _RULES if r[1] in kinds], SCHEMA)
 
 
-@query("rank_goggle_boost", "WITH " + DOCS_SQL + " SELECT url, round(CASE source WHEN 'src1' THEN 1.45::DOUBLE * 1.15::DOUBLE WHEN 'src2' THEN 0.25 ELSE 1 END * CASE WHEN contains(url, '/d/1') THEN 1.2::DOUBLE ELSE 1 END, 9) AS boost FROM docs")
+@query("rank_goggle_boost", _VARIED_SQL + " SELECT url, round(CASE WHEN url LIKE '%://src1.%' THEN 1.45::DOUBLE * 1.15::DOUBLE WHEN url LIKE '%://src2.%' THEN 0.25 * 1.15::DOUBLE WHEN url LIKE '%://src4.%' THEN 0.5 * 1.45::DOUBLE WHEN url LIKE '%://src5.%' THEN 1.3::DOUBLE ELSE 1 END * CASE WHEN contains(regexp_replace(url, '[?#].*', ''), '/d/1') THEN 1 + 0.15::DOUBLE * 1.2::DOUBLE ELSE 1 END, 9) AS boost FROM t")
 def rank_goggle_boost(spark, sf):
-    rows = web_documents(spark, sf).select("url", F.lit(1.0).alias("boost"))
+    rows = _varied(spark, sf).select("url", F.lit(1.0).alias("boost"))
     return ranking.apply_rules(rows, _rules(spark, ("boost", "downrank", "path"))).select("url", F.round("boost", 9).alias("boost"))
 
 
-@query("rank_goggle_discard", "WITH " + DOCS_SQL + " SELECT url FROM docs WHERE source <> 'src3'")
+@query("rank_goggle_discard", _VARIED_SQL + " SELECT url FROM t WHERE url NOT LIKE '%://src3.%'")
 def rank_goggle_discard(spark, sf):
-    return ranking.apply_rules(web_documents(spark, sf).select("url", F.lit(1.0).alias("boost")), _rules(spark, ("discard",))).select("url")
+    return ranking.apply_rules(_varied(spark, sf).select("url", F.lit(1.0).alias("boost")), _rules(spark, ("discard",))).select("url")
 
 
-@query("rank_goggle_allowlist", "WITH " + DOCS_SQL + " SELECT url FROM docs WHERE source = 'src1' OR contains(url, '/d/1')")
+@query("rank_goggle_allowlist", "WITH " + DOCS_SQL + " SELECT url FROM docs WHERE source IN ('src1', 'src2', 'src4', 'src5') OR contains(url, '/d/1')")
 def rank_goggle_allowlist(spark, sf):
     from seekloom.operators.rules import SCHEMA
 
@@ -351,9 +421,10 @@ def rank_goggle_allowlist(spark, sf):
     return ranking.apply_rules(web_documents(spark, sf).select("url", F.lit(1.0).alias("boost")), rules).select("url")
 
 
-@query("rank_goggle_important", "WITH " + DOCS_SQL + " SELECT url, CASE WHEN source = 'src4' THEN 5.0 ELSE 2.0 END::DOUBLE AS boost FROM docs")
+@query("rank_goggle_important", _VARIED_SQL + " SELECT url, round(CASE WHEN url LIKE '%://src1.%' THEN 2 * 1.45::DOUBLE * 1.15::DOUBLE WHEN url LIKE '%://src2.%' THEN 0.25 WHEN url LIKE '%://src4.%' THEN 1.45 ELSE 2 END::DOUBLE, 9) AS boost FROM t")
 def rank_goggle_important(spark, sf):
-    return ranking.apply_rules(web_documents(spark, sf).select("url", F.lit(2.0).alias("boost")), _rules(spark, ("important",)))
+    out = ranking.apply_rules(_varied(spark, sf).select("url", F.lit(2.0).alias("boost")), _rules(spark, ("important", "boost", "downrank")))
+    return out.select("url", F.round("boost", 9).alias("boost"))
 
 
 @query("rank_path_matches", r"""
@@ -376,31 +447,25 @@ def _ranked(spark, sf):
 @query("rank_pagerank_factor_top100", _BASE + """, s AS (SELECT doc_id, url, rn, CASE WHEN rn <= 100 THEN round(score * (1 + (doc_id % 10) / 10.0::DOUBLE), 9) ELSE score END AS score FROM n)
 SELECT doc_id, score, row_number() OVER (ORDER BY (rn > 100)::INTEGER, CASE WHEN rn <= 100 THEN score END DESC, CASE WHEN rn <= 100 THEN url END, rn)::INTEGER AS place FROM s""")
 def rank_pagerank_factor_top100(spark, sf):
-    out = ranking.rescore_prefix(_ranked(spark, sf), 1 + F.col("doc_id") % 10 / F.lit(10.0), 100)
+    out = ranking.rescore_table(_ranked(spark, sf), 1 + F.col("doc_id") % 10 / F.lit(10.0), 100)
     return out.select("doc_id", "score", "place")
 
 
 @query("rank_rerank_sigmoid_top30", _BASE + """, s AS (SELECT doc_id, url, rn, CASE WHEN rn <= 30 THEN round(score * (1 / (1 + exp(-((doc_id % 7) - 3.0::DOUBLE)))), 9) ELSE score END AS score FROM n)
 SELECT doc_id, score, row_number() OVER (ORDER BY (rn > 30)::INTEGER, CASE WHEN rn <= 30 THEN score END DESC, CASE WHEN rn <= 30 THEN url END, rn)::INTEGER AS place FROM s""")
 def rank_rerank_sigmoid_top30(spark, sf):
-    out = ranking.rescore_prefix(_ranked(spark, sf), ranking.sigmoid(F.col("doc_id") % 7 - F.lit(3.0)), 30)
+    out = ranking.rescore_table(_ranked(spark, sf), ranking.sigmoid(F.col("doc_id") % 7 - F.lit(3.0)), 30)
     return out.select("doc_id", "score", "place")
 
 
 @query("rank_domain_cap", _BASE + " SELECT doc_id, rn::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rn) AS k FROM n) WHERE k <= 5")
 def rank_domain_cap(spark, sf):
-    from pyspark.sql import Window
-
-    placed = _ranked(spark, sf).withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "url")))
-    return ranking.domain_cap(placed).select("doc_id", "place")
+    return ranking.domain_cap(ranking.placed(_ranked(spark, sf))).select("doc_id", "place")
 
 
 @query("rank_final_top20", _BASE + " SELECT doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rn) AS k FROM n) WHERE k <= 5 ORDER BY rn LIMIT 20")
 def rank_final_top20(spark, sf):
-    from pyspark.sql import Window
-
-    placed = _ranked(spark, sf).withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "url")))
-    return ranking.domain_cap(placed).orderBy("place").limit(20).select("doc_id", "score")
+    return ranking.domain_cap(ranking.placed(_ranked(spark, sf))).orderBy("place").limit(20).select("doc_id", "score")
 
 
 @query("rank_blocked_terms", "WITH " + DOCS_SQL + " SELECT doc_id FROM docs WHERE NOT regexp_matches(lower(title || ' ' || content || ' ' || url), 'clown|trash')")
@@ -416,6 +481,40 @@ def rank_presentation(spark, sf):
     return web_documents(spark, sf).select("doc_id", breadcrumb(F.col("url")).alias("crumb"), reading_level(F.col("qna")).alias("reading"), load_label(F.col("load")).alias("speed"))
 
 
-@query("search_end_to_end")
+#: The rules, peers' hits and link scores of the end-to-end query.
+_E2E_RULES = [(1, "boost", "src1.example.com", "", 3.0), (1, "downrank", "src2.example.com", "", 1.0), (2, "path", "", "/d/1", 1.2), (2, "discard", "src3.example.com", "", 1.0)]
+_E2E_SQL = _sql({"a": "with", "b": "when"}, ", " + _ASSIGNED + r""",
+hits AS (
+  SELECT 'FTS' AS engine, doc_id, score FROM (SELECT doc_id, round(8 * (a.s + b.s), 6) AS score FROM a JOIN b USING (doc_id) ORDER BY score DESC, doc_id LIMIT 160)
+  UNION ALL SELECT 'IVF', vec_id, score FROM (SELECT vec_id, max(round(list_inner_product(x.v, q.v), 6)) AS score FROM assigned x, q WHERE k = 1 AND bucket_id IN (SELECT bucket_id FROM p) GROUP BY vec_id ORDER BY score DESC, vec_id LIMIT 200)
+  UNION ALL SELECT 'DEC', doc_id, load FROM docs WHERE source IN ('src1', 'src4')
+),
+ranked AS (SELECT hits.engine, hits.score AS raw, docs.*, row_number() OVER (PARTITION BY hits.engine ORDER BY hits.score DESC, url) - 1 AS r, CASE hits.engine WHEN 'FTS' THEN 2 WHEN 'IVF' THEN 3 ELSE 5 END AS o FROM hits JOIN docs USING (doc_id)),
+fused AS (
+  SELECT doc_id, round(sum(CASE engine WHEN 'FTS' THEN 1.7 WHEN 'IVF' THEN 1.6 ELSE 0.9 END::DOUBLE / (60 + r + 1) * CASE WHEN engine <> 'DEC' AND lang <> 'en' THEN 0.1::DOUBLE ELSE 1 END), 9) AS search_score,
+         array_to_string(list(DISTINCT engine ORDER BY CASE engine WHEN 'FTS' THEN 2 WHEN 'IVF' THEN 3 ELSE 5 END), ',') AS engines FROM ranked GROUP BY doc_id
+),
+scored AS (
+  SELECT doc_id, url, title, source, engines, round(search_score * (@HAND@) * CASE source WHEN 'src1' THEN 1.45::DOUBLE WHEN 'src2' THEN 0.5 ELSE 1 END * CASE WHEN contains(url, '/d/1') THEN 1 + 0.15::DOUBLE * 1.2::DOUBLE ELSE 1 END, 9) AS score
+  FROM fused JOIN docs USING (doc_id) WHERE source <> 'src3'
+),
+n1 AS (SELECT *, row_number() OVER (ORDER BY score DESC, url) AS rn FROM scored),
+s1 AS (SELECT * REPLACE (CASE WHEN rn <= 100 THEN round(score * (1 + (doc_id % 10) / 10.0::DOUBLE), 9) ELSE score END AS score) FROM n1),
+n2 AS (SELECT * REPLACE (row_number() OVER (ORDER BY (rn > 100)::INTEGER, CASE WHEN rn <= 100 THEN score END DESC, CASE WHEN rn <= 100 THEN url END, rn) AS rn) FROM s1),
+s2 AS (SELECT * REPLACE (CASE WHEN rn <= 30 THEN round(score * (1 / (1 + exp(-(4.0::DOUBLE * (contains(lower(title), 'with')::INTEGER + contains(lower(title), 'when')::INTEGER) / 2.0::DOUBLE - 2.0::DOUBLE)))), 9) ELSE score END AS score) FROM n2),
+n3 AS (SELECT * REPLACE (row_number() OVER (ORDER BY (rn > 30)::INTEGER, CASE WHEN rn <= 30 THEN score END DESC, CASE WHEN rn <= 30 THEN url END, rn) AS rn) FROM s2)
+SELECT rn::INTEGER AS place, doc_id, url, title, score, engines FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rn) AS c FROM n3) WHERE c <= 5 ORDER BY rn LIMIT 20""".replace("@HAND@", _hand_sql("with when", "en", "us", 5)))
+# the leaves' names a and p are taken: the assignment of vectors is called otherwise
+_E2E_SQL = _E2E_SQL.replace("\na AS (SELECT vec_id", "\nassigned AS (SELECT vec_id").replace(", c AS (SELECT bucket_id", ", c AS (SELECT bucket_id")
+
+
+@query("search_end_to_end", _E2E_SQL)
 def search_end_to_end(spark, sf):
-    return engine.SearchEngine(spark, sf).search("with from", lang="en")
+    from seekloom.operators.rules import SCHEMA
+
+    docs = web_documents(spark, sf)
+    peers = docs.where("source in ('src1', 'src4')").select("doc_id", F.col("load").cast("double").alias("score"))
+    scores = docs.select(F.col("url").alias("node"), (F.col("doc_id") % 10 / F.lit(10.0)).alias("score"))
+    asked = _first_vector(spark, sf)
+    found = engine.SearchEngine(spark, sf, embed=lambda _: asked, scores=scores)
+    return found.search("with when", lang="en", loc="us", intent=ranking.UNKNOWN, rules=spark.createDataFrame(_E2E_RULES, SCHEMA), peers=peers)
