@@ -111,32 +111,41 @@ def graph_pagerank_incremental(spark, sf):
 # ------------------------------------------------------- ingest and updates
 
 
+_PLAIN = "regexp_replace(content, '[\n\r]', ' ', 'g')"
+
+
 def _dump(spark, sf):
+    """Documents as the fields of a dump line: a line break in a field would end the line."""
     d = web_documents(spark, sf)
-    flat = d.select(F.regexp_replace("url", "^https?", "http").alias("url"), F.regexp_replace("title", "[\n\r]", " ").alias("title"), F.length("content").cast("string").alias("content"), "lang", "loc", "load", "date", "intent", "safe_s", "has_500_words", F.col("doc_id").alias("line"))
-    return ingest.to_lines(flat).limit(0), flat
+    plain = lambda c: F.regexp_replace(c, "[\n\r]", " ").alias(c)
+    return d.select(F.regexp_replace("url", "^https?", "http").alias("url"), plain("title"), plain("content"), "lang", "loc", "load", "date", "intent", "safe_s", "is_mobile", "has_500_words", F.col("doc_id").alias("line"))
 
 
 def _lines(spark, sf):
-    """Dump lines of every document, each fourth repeated with another title, each seventh broken."""
-    _, flat = _dump(spark, sf)
+    """Dump lines of every document with its whole text, each fourth repeated with another title, each seventh without a vector, each fifth broken."""
+    flat = _dump(spark, sf)
     n = F.col("line")
-    text = F.concat_ws(ingest.DELIMITER, *[F.coalesce(F.col(f).cast("string"), F.lit("")) if f in flat.columns else F.lit("1,2,3,4") if f == "points" else F.when(n % 7 == 0, F.lit("1,2")).otherwise(F.lit(",".join(["0.5"] * 8))) if f == "vector" else F.lit("") for f in ingest.FIELDS])
-    first = flat.select(n.alias("line"), text.alias("value"))
-    again = flat.where(n % 4 == 0).select((n + 10_000_000).alias("line"), F.concat_ws(ingest.DELIMITER, F.col("url"), F.lit("second"), *[F.lit(x) for x in ("", "", "", "", "", "false", "", "en", "us", "1,2,3,4", "0.5", "240101", "1", "false", "false", ",".join(["0.5"] * 8))]).alias("value"))
-    broken = flat.where(n % 5 == 0).select((n + 20_000_000).alias("line"), F.concat(F.col("url"), F.lit("<-->too few")).alias("value"))
+    vector = F.when(n % 7 == 0, F.lit("1,2")).otherwise(F.lit(",".join(["0.5"] * 8)))
+    value = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("")) if f in flat.columns else F.lit("1,2,3,4") if f == "points" else vector if f == "vector" else F.lit("")
+    first = flat.select(n.alias("line"), F.concat_ws(ingest.DELIMITER, *[value(f) for f in ingest.FIELDS]).alias("value"))
+    again = flat.where(n % 4 == 0).select((n + 10_000_000_000).alias("line"), F.concat_ws(ingest.DELIMITER, F.col("url"), F.lit("second"), *[F.lit(x) for x in ("", "", "", "", "", "false", "", "en", "us", "1,2,3,4", "0.5", "240101", "1", "false", "false", ",".join(["0.5"] * 8))]).alias("value"))
+    broken = flat.where(n % 5 == 0).select((n + 20_000_000_000).alias("line"), F.concat(F.col("url"), F.lit("<-->too few")).alias("value"))
     return first.unionByName(again).unionByName(broken)
 
 
-@query("ingest_validate_18_fields", "WITH " + DOCS_SQL + " SELECT regexp_replace(url, '^https?', 'http') AS url, lang, load, date, intent FROM docs WHERE doc_id % 7 <> 0 UNION ALL SELECT regexp_replace(url, '^https?', 'http'), 'en', 0.5, 240101, 1 FROM docs WHERE doc_id % 4 = 0")
+#: A text that holds the delimiter has more fields, so its line is dropped.
+_VALID = "doc_id % 7 <> 0 AND NOT contains(content, '<-->')"
+
+
+@query("ingest_validate_18_fields", "WITH " + DOCS_SQL + f" SELECT regexp_replace(url, '^https?', 'http') AS url, md5({_PLAIN}) AS content_md5, lang, load, date, intent FROM docs WHERE {_VALID} UNION ALL SELECT regexp_replace(url, '^https?', 'http'), md5(''), 'en', 0.5, 240101, 1 FROM docs WHERE doc_id % 4 = 0")
 def ingest_validate_18_fields(spark, sf):
-    return ingest.parse_lines(_lines(spark, sf)).select("url", "lang", "load", "date", "intent")
+    return ingest.parse_lines(_lines(spark, sf)).select("url", F.md5("content").alias("content_md5"), "lang", "load", "date", "intent")
 
 
-@query("ingest_dedup_first_wins", "WITH " + DOCS_SQL + " SELECT regexp_replace(url, '^https?', 'http') AS url, CASE WHEN doc_id % 7 <> 0 THEN regexp_replace(title, '[\\n\\r]', ' ', 'g') ELSE 'second' END AS title FROM docs WHERE (doc_id % 7 <> 0 OR doc_id % 4 = 0) AND source <> 'src5'")
+@query("ingest_dedup_first_wins", "WITH " + DOCS_SQL + f" SELECT regexp_replace(url, '^https?', 'http') AS url, CASE WHEN {_VALID} THEN regexp_replace(title, '[\n\r]', ' ', 'g') ELSE 'second' END AS title, md5(CASE WHEN {_VALID} THEN {_PLAIN} ELSE '' END) AS content_md5 FROM docs WHERE (({_VALID}) OR doc_id % 4 = 0) AND source <> 'src5'")
 def ingest_dedup_first_wins(spark, sf):
     stored = web_documents(spark, sf).where("source = 'src5'").select(F.regexp_replace("url", "^https?", "http").alias("url"))
-    return ingest.first_wins(ingest.parse_lines(_lines(spark, sf)), stored).select("url", "title")
+    return ingest.first_wins(ingest.parse_lines(_lines(spark, sf)), stored).select("url", "title", F.md5("content").alias("content_md5"))
 
 
 @query("ingest_upsert", "SELECT doc_id, CASE WHEN quality = 1 THEN 'new' ELSE lang END AS lang FROM documents LEFT JOIN labels USING (doc_id)")
@@ -152,11 +161,12 @@ def ingest_integrity_antijoin(spark, sf):
     return ingest.orphans(e, table(spark, sf, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id")
 
 
-@query("ingest_peer_export", "SELECT doc_id, 18::INTEGER AS fields, coalesce(source, '') AS url FROM documents")
+@query("ingest_peer_export", "WITH " + DOCS_SQL + f" SELECT 18 + (length({_PLAIN} || regexp_replace(title, '[\n\r]', ' ', 'g')) - length(replace({_PLAIN} || regexp_replace(title, '[\n\r]', ' ', 'g'), '<-->', ''))) // 4 AS fields, regexp_replace(url, '^https?', 'http') AS url, md5(CASE WHEN contains(content, '<-->') OR contains(title, '<-->') THEN '' ELSE {_PLAIN} END) AS content_md5 FROM docs")
 def ingest_peer_export(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("url"), F.coalesce("lang", F.lit("")).alias("lang"))
-    lines = d.select("doc_id", F.concat_ws(ingest.DELIMITER, *[F.col(f) if f in ("url", "lang") else F.lit("") for f in ingest.FIELDS]).alias("value"))
-    return lines.select("doc_id", F.size(F.split("value", ingest.DELIMITER)).alias("fields"), F.split_part("value", F.lit(ingest.DELIMITER), F.lit(1)).alias("url"))
+    lines = ingest.to_lines(_dump(spark, sf))
+    p = F.split("value", ingest.DELIMITER)
+    whole = F.size(p) == len(ingest.FIELDS)
+    return lines.select(F.size(p).cast("long").alias("fields"), F.get(p, F.lit(0)).alias("url"), F.md5(F.when(whole, F.get(p, F.lit(3))).otherwise("")).alias("content_md5"))
 
 
 _RANGES = "r AS (SELECT o_custkey AS update_id, datediff('day', DATE '1990-01-01', o_orderdate::DATE)::BIGINT AS a, datediff('day', DATE '1990-01-01', o_orderdate::DATE)::BIGINT + o_orderkey % 60 AS b FROM orders), m AS (SELECT *, max(b) OVER (PARTITION BY update_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r), i AS (SELECT *, sum(CASE WHEN a <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY update_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM m)"
@@ -236,13 +246,16 @@ def url_direct_candidates(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.explode(urls.direct_candidates(name)).alias("c")).select("p_partkey", "c.ord", "c.url")
 
 
-@query("url_discovery_candidates", r"""WITH h AS (SELECT DISTINCT regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1), '^www[.]', '') AS d FROM pages WHERE url IS NOT NULL), b AS (SELECT DISTINCT regexp_replace(d, '[.][a-z]+$', '') AS n FROM h)
-SELECT n || t AS domain FROM b, (VALUES ('.com'), ('.net'), ('.org'), ('.de')) AS t(t) WHERE n || t NOT IN (SELECT d FROM h)""")
+_TLDS = ", ".join(f"('{t}')" for t in urls.DISCOVERY_TLDS)
+
+
+@query("url_discovery_candidates", rf"""WITH h AS (SELECT DISTINCT regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1), '^www[.]', '') AS d FROM pages WHERE url IS NOT NULL), b AS (SELECT DISTINCT regexp_replace(d, '[.][a-z]+$', '') AS n FROM h), x AS (SELECT regexp_extract(lower(url), '^([a-z]+://[^/?#]*)', 1) || '/' AS home FROM pages WHERE url IS NOT NULL)
+SELECT n || t AS domain, 'https://' || n || t || '/' AS url FROM b, (VALUES {_TLDS}) AS t(t) WHERE 'https://' || n || t || '/' NOT IN (SELECT home FROM x) AND 'https://www.' || n || t || '/' NOT IN (SELECT home FROM x) AND 'http://' || n || t || '/' NOT IN (SELECT home FROM x) AND 'http://www.' || n || t || '/' NOT IN (SELECT home FROM x)""")
 def url_discovery_candidates(spark, sf):
-    hosts = _pages(spark, sf).select(urls.domain(F.col("url")).alias("d")).distinct()
-    names = hosts.select(F.regexp_replace("d", "[.][a-z]+$", "").alias("n")).distinct()
-    made = names.select(F.explode(F.array(*[F.concat("n", F.lit(t)) for t in (".com", ".net", ".org", ".de")])).alias("domain"))
-    return made.join(hosts, made["domain"] == hosts["d"], "left_anti")
+    pages = _pages(spark, sf)
+    names = pages.select(F.regexp_replace(urls.domain(F.col("url")), "[.][a-z]+$", "").alias("name"))
+    homes = pages.select(F.concat(F.regexp_extract(F.lower("url"), r"^([a-z]+://[^/?#]*)", 1), F.lit("/")).alias("url"))
+    return urls.discovery_candidates(names, homes)
 
 
 # -------------------------------------------------------------------- pages
@@ -293,16 +306,18 @@ def crawl_tag_map(spark, sf):
     return crawl.to_records(table(spark, sf, "pages")).select("page_id", F.explode("tag_data").alias("tag", "texts"))
 
 
-@query("blob_roundtrip", "SELECT doc_id AS id, coalesce(lang, '') AS text FROM documents")
+@query("blob_roundtrip", r"SELECT doc_id AS id, array_to_string(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), ' ') AS text FROM documents")
 def blob_roundtrip(spark, sf):
     import pandas as pd
 
     def pack(batches):
         for b in batches:
-            yield pd.DataFrame({"id": b["doc_id"], "value": [blob.encode_runs([("p", [x or ""])]) for x in b["lang"]]})
+            yield pd.DataFrame({"id": b["id"], "value": [blob.encode_runs([("p", blob.encode_words(list(ws)))]) for ws in b["ws"]]})
 
-    packed = table(spark, sf, "documents").select("doc_id", "lang").mapInPandas(pack, "id long, value binary")
-    return blob.decode_table(packed).select("id", "text")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), words.alias("ws"))
+    known = blob.dictionary(d.select(F.explode("ws").alias("word")))
+    return blob.texts(d.mapInPandas(pack, "id long, value binary"), known)
 
 
 # ------------------------------------------------------ query understanding
@@ -394,17 +409,9 @@ def qu_accept_language(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.when(tag.isin("en", "de", "fr"), tag).otherwise("all").alias("lang"))
 
 
-@query("qu_bloom_peers", r"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark), s AS (SELECT source, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'))) AS term FROM documents WHERE source IS NOT NULL) SELECT source, count(DISTINCT term)::BIGINT AS hits FROM s JOIN w USING (term) GROUP BY source ORDER BY hits DESC, source LIMIT 4")
-def qu_bloom_peers(spark, sf):
-    terms = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]+"), F.lit(0)))).alias("term")
-    asked = table(spark, sf, "benchmark").select(terms("text")).distinct()
-    held = table(spark, sf, "documents").where("source is not null").select("source", terms("text")).distinct()
-    return held.join(asked, "term", "left_semi").groupBy("source").agg(F.count("*").alias("hits")).orderBy(F.col("hits").desc(), "source").limit(4)
-
-
-@query("rule_parse_export", "SELECT * FROM (VALUES (1, '$boost=3,site=a.com'), (1, '$downrank=2,site=b.com'), (1, '$discard,site=c.com'), (1, '$discard')) AS t(goggle_id, value)")
+@query("rule_parse_export", "SELECT * FROM (VALUES (1, '$boost=3,site=a.com'), (1, '$downrank=2,site=www.b.com'), (1, '$discard,site=c.com'), (1, '$discard'), (1, '$boost=2,site=d.com'), (1, '$important,site=d.com')) AS t(goggle_id, value)")
 def rule_parse_export(spark, sf):
-    rows = rules.parse(1, "! name: X\n$boost=3,site=a.com\n$downrank=2,site=www.b.com\n$discard,boost=2,site=c.com\n$discard\n$boost=2\n")
+    rows = rules.parse(1, "! name: X\n$boost=1,site=a.com\n$boost=3,site=a.com\n$downrank=2,site=www.b.com\n$discard,boost=2,site=c.com\n$discard\n$boost=2\n$boost=2,important,site=d.com\n$boost=x,site=e.com\n")
     return rules.export(spark.createDataFrame(rows, rules.SCHEMA)).select(F.col("goggle_id").cast("int").alias("goggle_id"), "value")
 
 
@@ -415,11 +422,11 @@ def rule_refresh(spark, sf):
     return table(spark, sf, "orders").select(key, rules.refresh_action(age, status, F.col("o_custkey") % 2 == 0).alias("action"))
 
 
-@query("rule_quick_tune", "SELECT coalesce(source, '') || '.example.com' AS domain, min(doc_id)::BIGINT AS first_at, coalesce(source, '') = 'src1' AS boosted, coalesce(source, '') = 'src2' AS downranked FROM documents GROUP BY source")
+@query("rule_quick_tune", "WITH r AS (SELECT coalesce(source, '') || '.example.com' AS domain, min(doc_id)::BIGINT AS ord FROM documents GROUP BY source) SELECT ord, coalesce(r.domain, p.d) AS domain, coalesce(p.d, '') IN ('src1.example.com', 'src3.example.com') AS boosted, coalesce(p.d, '') IN ('src2.example.com') AS downranked, coalesce(p.d, '') IN ('src3.example.com', 'unseen.org') AS discarded FROM r FULL JOIN (VALUES ('src1.example.com'), ('src2.example.com'), ('src3.example.com'), ('unseen.org')) AS p(d) ON p.d = r.domain WHERE coalesce(r.domain, p.d) <> '.example.com'")
 def rule_quick_tune(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit(".example.com")).alias("domain"))
-    first = d.groupBy("domain").agg(F.min("doc_id").alias("first_at"))
-    return first.select("domain", "first_at", F.col("domain").isin("src1.example.com").alias("boosted"), F.col("domain").isin("src2.example.com").alias("downranked"))
+    shown = table(spark, sf, "documents").where("source is not null").select(F.concat(F.lit("https://www."), "source", F.lit(".example.com/x")).alias("url"), F.col("doc_id").alias("place"))
+    prefs = spark.createDataFrame([(d, k) for _, k, d, _, _ in rules.quick_tune(["src1.example.com", "src3.example.com"], ["www.src2.example.com"], ["src3.example.com", "unseen.org"])], "domain string, kind string")
+    return rules.tuned_domains(shown, prefs)
 
 
 # ---------------------------------------------------------------------- geo
