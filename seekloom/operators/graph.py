@@ -7,11 +7,11 @@ by checkpoint() every few rounds.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seekloom.session import checkpoints
+
 DAMPING, EPSILON, MOST_ROUNDS, CUT_EVERY = 0.85, 1e-6, 100, 5
 
 
@@ -36,7 +36,9 @@ def assign_ids(found: DataFrame, known: DataFrame | None = None, buckets: int =
     if known is not None:
         found = found.join(known.select("node"), "node", "left_anti")
         start = known.agg(F.coalesce(F.max("node_id") + 1, F.lit(0))).first()[0]
-    parts = found.repartitionByRange(buckets, "node").withColumn("_p", F.spark_partition_id())
+    checkpoints(found.sparkSession)
+    # saved once: both branches below see one dealing of the nodes, also after a lost executor
+    parts = found.repartitionByRange(buckets, "node").withColumn("_p", F.spark_partition_id()).checkpoint()
     sizes = parts.groupBy("_p").agg(F.count("*").alias("n"))
     before = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     w = Window.partitionBy("_p").orderBy("node")
@@ -50,16 +52,17 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("x.node").agg(F.sum("x.o").alias("out_degree"), F.sum("x.i").alias("in_degree"))
 
 
-def csr_offsets(degree: DataFrame, width: int = 8) -> DataFrame:
-    """(node_id, in_degree) -> and the byte offset of each node's in-neighbours."""
-    w = Window.orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    return degree.withColumn("offset", (F.coalesce(F.sum("in_degree").over(w), F.lit(0)) * width).cast("long"))
+def csr_offsets(degree: DataFrame, width: int = 8, block: int = 1 << 16) -> DataFrame:
+    """(node_id, in_degree) -> and the byte offset of each node's in-neighbours.
 
-
-def _prepare_checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="seekloom-"))
+    Two levels as in assign_ids(): sums within blocks of ids, plus the sums of the blocks before.
+    """
+    blocks = degree.withColumn("_p", F.floor(F.col("node_id") / block).cast("long"))
+    sums = blocks.groupBy("_p").agg(F.sum("in_degree").alias("n"))
+    before = sums.select(F.col("_p").alias("_q"), F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a block
+    w = Window.partitionBy("_p").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    out = blocks.join(before, F.col("_p") == F.col("_q")).withColumn("offset", ((F.coalesce(F.sum("in_degree").over(w), F.lit(0)) + F.col("_before")) * width).cast("long"))
+    return out.select(*degree.columns, "offset")
 
 
 def pagerank(edges: DataFrame, rounds: int | None = None, tol: float = EPSILON, damping: float = DAMPING, start: DataFrame | None = None) -> DataFrame:
@@ -68,7 +71,7 @@ def pagerank(edges: DataFrame, rounds: int | None = None, tol: float = EPSILON,
     start: scores of an earlier run, for the nodes that it has (incremental).
     """
     spark = edges.sparkSession
-    _prepare_checkpoints(spark)
+    checkpoints(spark)
     edges = edges.distinct()
     out = edges.groupBy(F.col("src").alias("_s")).agg(F.count("*").alias("_out"))
     links = edges.join(out, F.col("src") == F.col("_s")).select("src", "dst", "_out").checkpoint()
