@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seekloom.session import shared_folder
+
 #: A word is a run of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: dict[str, str] = {}
+#: Bytes of one batch between the JVM and Python; Spark's own setting of 64 MB costs several times that in either.
+BATCH_BYTES = 4_000_000
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, of a session whose Arrow batches hold BATCH_BYTES at most, so that long texts do not add up in one."""
+    spark = df.sparkSession
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCHES)) > BATCH_BYTES:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        # with its scheme, so that Spark and Arrow mean the same store
-        where = spark._jvm.org.apache.hadoop.fs.Path(found)
-        full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
-        return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="seekloom-")
-    return _own[app]
+    """The cluster's shared folder (spark.checkpoint.dir), with its scheme, so that Spark and Arrow mean the same store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -5,9 +5,9 @@ arrays and sends them by hash range as packed blocks; each range is merged once,
 written to the shared folder as a sorted array of pair hashes with counts, and
 yields partial statistics of contexts (total, and how many pairs were seen once,
 twice, more often) and of words (count, and in how many different contexts);
-these are merged by hash range likewise. The ranges grow in number with the
-input's partitions, so a task's memory does not grow with the corpus, and every
-text of the training part counts.
+these are merged by hash range likewise. The ranges grow in number with the bytes
+of text, so a task's memory does not grow with the corpus, and every text of the
+training part counts.
 
 Workers map the finished arrays into memory and look all words of a group of
 texts up at once, in sorted order. With D the three discounts from counts of
@@ -26,28 +26,24 @@ rows count and score one by one; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import contextlib
 import math
-import os
 import pickle
-import shutil
-import tempfile
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, new_path, save
+from .common import bounded, bucket_of, new_path, save
+from .packed import mapped, pack, slices, store, tidy, unpack
 from .shingles import mix64, words
 
 #: Texts are counted and scored in groups of about so many characters.
 GROUP_CHARS = 2_000_000
 #: Pairs that a task holds before it packs them.
-HELD_PAIRS = 4_000_000
-#: Ranges of hashes at least; a power of two not below the input's partitions is taken.
+HELD_PAIRS = 2_000_000
+#: Bytes of text for each range of hashes, and ranges at least; a power of two is taken.
+RANGE_BYTES = 16_000_000
 LEAST_PARTS = 16
 _START = mix64(np.array([0x5354415254], np.uint64))[0]
 _END = mix64(np.array([0x454E44], np.uint64))[0]
@@ -58,31 +54,6 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(before * _K1 + mix64(word * _K2))
 
 
-def _planes(values: np.ndarray) -> np.ndarray:
-    """Bytes of equal significance side by side, which packs small numbers and small gaps well."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
-
-
-def pack(**arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed block; names ending in _sorted are stored as gaps."""
-    squeeze = zstandard.ZstdCompressor(level=1)
-    out = {}
-    for name, a in arrays.items():
-        gaps = np.diff(a, prepend=a.dtype.type(0)) if name.endswith("_sorted") else a
-        out[name] = (str(a.dtype), squeeze.compress(_planes(gaps).tobytes()))
-    return pickle.dumps(out)
-
-
-def unpack(data: bytes) -> dict[str, np.ndarray]:
-    out = {}
-    for name, (kind, body) in pickle.loads(data).items():
-        kind = np.dtype(kind)
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
-        a = np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
-        out[name] = np.cumsum(a, dtype=kind) if name.endswith("_sorted") else a
-    return out
-
-
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all texts with their ends, the hash before each, and tokens per text."""
     hashes, n = words([(t or "").encode().lower() for t in texts])
@@ -118,24 +89,6 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *[np.add.reduceat(v[order].astype(np.int64), first) if len(keys) else v.astype(np.int64) for v in values]
 
 
-def _slices(keys: np.ndarray, bits: int):
-    """(range, slice) of sorted keys, by their top bits."""
-    bounds = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    for part in range(1 << bits):
-        if bounds[part] < bounds[part + 1]:
-            yield part, slice(bounds[part], bounds[part + 1])
-
-
-def _store(folder: str, name: str, a: np.ndarray) -> None:
-    """Write an array under a temporary name, then move it: a repeated task leaves one whole file."""
-    fs, root = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(root, recursive=True)
-    part = f"{root}/{name}.{os.getpid()}.part"
-    with fs.open_output_stream(part, compression=None) as out:
-        out.write(np.ascontiguousarray(a).data)
-    fs.move(part, f"{root}/{name}")
-
-
 def _pairs(train: DataFrame, bits: int) -> DataFrame:
     def run(batches):
         held, size = [], 0
@@ -148,9 +101,10 @@ def _pairs(train: DataFrame, bits: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             n = np.diff(np.append(first, len(keys))).astype(np.uint32)
             keys, word, before = keys[first], word[order[first]], before[order[first]]
-            for part, s in _slices(keys, bits):
+            for part, s in slices(keys, bits):
                 known, place = np.unique(before[s], return_inverse=True)
-                yield part, pack(keys_sorted=keys[s], word=word[s], before_sorted=known, place=place.astype(np.uint32), n=n[s])
+                names, at = np.unique(word[s], return_inverse=True)
+                yield part, pack(keys_sorted=keys[s], word_sorted=names, at=at.astype(np.uint32), before_sorted=known, place=place.astype(np.uint32), n=n[s])
 
         def rows():
             out = list(flush())
@@ -166,6 +120,7 @@ def _pairs(train: DataFrame, bits: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield rows()
+        tidy()
 
     return train.select("text").mapInArrow(run, "part int, data binary")
 
@@ -179,30 +134,31 @@ def _merge_pairs(folder: str, bits: int):
 
     def run(key, table):
         part = key[0].as_py()
-        blocks = [unpack(d) for d in table.column("data").to_pylist()]
+        blocks = [unpack(d.as_py()) for d in table.column("data")]
         keys = np.concatenate([b["keys_sorted"] for b in blocks])
-        word = np.concatenate([b["word"] for b in blocks])
+        word = np.concatenate([b["word_sorted"][b["at"]] for b in blocks])
         before = np.concatenate([b["before_sorted"][b["place"]] for b in blocks])
         n = np.concatenate([b["n"] for b in blocks])
         blocks.clear()
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n = np.add.reduceat(n[order].astype(np.int64), first)
         keys, word, before = keys[first], word[order[first]], before[order[first]]
-        _store(folder, f"pair-{part}.keys", keys)
+        store(folder, f"pair-{part}.keys", keys)
         # one byte a count; the few larger ones stand apart
-        _store(folder, f"pair-{part}.small", np.minimum(n, 255).astype(np.uint8))
+        store(folder, f"pair-{part}.small", np.minimum(n, 255).astype(np.uint8))
         big = n >= 255
-        _store(folder, f"pair-{part}.bigkeys", keys[big])
-        _store(folder, f"pair-{part}.big", n[big])
+        store(folder, f"pair-{part}.bigkeys", keys[big])
+        store(folder, f"pair-{part}.big", n[big])
         out = [("stat", part, pickle.dumps(_counts_of_counts(n)))]
         v, total, one, two, more = _summed(before, n, n == 1, n == 2, n >= 3)
-        for p, s in _slices(v, bits):
+        for p, s in slices(v, bits):
             out.append(("context", p, pack(key_sorted=v[s], total=total[s], one=one[s].astype(np.uint32), two=two[s].astype(np.uint32), more=more[s].astype(np.uint32))))
         w, count, types = _summed(word, n, np.ones(len(n), np.int64))
-        for p, s in _slices(w, bits):
+        for p, s in slices(w, bits):
             out.append(("word", p, pack(key_sorted=w[s], count=count[s], types=types[s].astype(np.uint32))))
+        tidy()
         return pa.table({"kind": pa.array([x[0] for x in out]), "part": pa.array([x[1] for x in out], pa.int32()), "data": pa.array([x[2] for x in out], pa.binary())})
 
     return run
@@ -213,12 +169,12 @@ def _merge_stats(folder: str):
 
     def run(key, table):
         kind, part = key[0].as_py(), key[1].as_py()
-        blocks = [unpack(d) for d in table.column("data").to_pylist()]
+        blocks = [unpack(d.as_py()) for d in table.column("data")]
         names = [x for x in blocks[0] if x != "key_sorted"]
         keys, *values = _summed(np.concatenate([b["key_sorted"] for b in blocks]), *[np.concatenate([b[x] for b in blocks]) for x in names])
-        _store(folder, f"{kind}-{part}.keys", keys)
+        store(folder, f"{kind}-{part}.keys", keys)
         for name, v in zip(names, values, strict=True):
-            _store(folder, f"{kind}-{part}.{name}", v if name in ("total", "count") else v.astype(np.uint32))
+            store(folder, f"{kind}-{part}.{name}", v if name in ("total", "count") else v.astype(np.uint32))
         stat = {}
         if kind == "word":
             count, types = values
@@ -250,12 +206,12 @@ class Model:
         self.gamma1 = float(self.d1 @ np.array([of[0], of[1], more])) / self.types if self.types else 1.0
 
     def _array(self, name: str, kind: str) -> np.ndarray:
-        return _mapped(self.folder, name, kind)
+        return mapped(self.folder, name, kind)
 
     def look_up(self, kind: str, keys: np.ndarray, fields: dict[str, str]) -> list[np.ndarray]:
         """Values of sorted distinct keys, 0 where absent."""
         out = [np.zeros(len(keys), np.int64) for _ in fields]
-        for part, s in _slices(keys, self.bits):
+        for part, s in slices(keys, self.bits):
             stored = self._array(f"{kind}-{part}.keys", "u8")
             if not len(stored):
                 continue
@@ -293,38 +249,11 @@ class Model:
         return lengths, add((count > 0)[w_at]).astype(np.int64), add(base[w_at]), add(np.log10(p))
 
 
-_open: dict[tuple[str, str], np.ndarray] = {}
-_copies: dict[str, str] = {}
-
-
-def _mapped(folder: str, name: str, kind: str) -> np.ndarray:
-    """A memory-mapped array; a store that is no local path is copied to this worker's folder first, once."""
-    key = (folder, name)
-    if key not in _open:
-        if any(f != folder for f, _ in _open):
-            _open.clear()
-        fs, root = pafs.FileSystem.from_uri(folder)
-        path = f"{root}/{name}"
-        if not isinstance(fs, pafs.LocalFileSystem):
-            if folder not in _copies:
-                _copies[folder] = tempfile.mkdtemp(prefix="lm-")
-                import atexit
-
-                atexit.register(shutil.rmtree, _copies[folder], ignore_errors=True)
-            local = f"{_copies[folder]}/{name}"
-            with contextlib.suppress(FileNotFoundError):
-                pafs.copy_files(path, local, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
-            path = local
-        there = os.path.exists(path) and os.path.getsize(path)
-        _open[key] = np.memmap(path, np.dtype(kind), "r") if there else np.empty(0, kind)
-    return _open[key]
-
-
 def train(docs: DataFrame) -> Model:
     """Count a model over every text of docs."""
-    spark = docs.sparkSession
-    parts = max(LEAST_PARTS, docs.rdd.getNumPartitions())
-    bits = math.ceil(math.log2(parts))
+    spark = bounded(docs).sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = math.ceil(math.log2(max(LEAST_PARTS, size / RANGE_BYTES)))
     folder = new_path(spark, "lm")
     pairs = _pairs(docs, bits)
     merged = save(pairs.groupBy("part").applyInArrow(_merge_pairs(folder, bits), "kind string, part int, data binary"), "lm-stats", codec="none")
@@ -347,8 +276,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = [model.score(g) for g in _text_groups(batch.column("text").to_pylist())]
             arrays = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)] if found else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *arrays], names=[*kept, *added])
+        tidy()
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -8,6 +8,7 @@ import numpy as np
 
 #: Texts are hashed in groups of about so many bytes, which bounds the memory of a task.
 GROUP_BYTES = 500_000
+PART_BYTES = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -36,20 +37,36 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def words(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and the number of words of each text."""
-    buffer = np.frombuffer(b" ".join(datas) + b" ", np.uint8)
+def _hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the words of a buffer that ends in a space."""
     space = _SPACE[buffer]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    ends = np.cumsum([len(d) + 1 for d in datas])
-    counts = np.diff(np.concatenate([[0], np.searchsorted(starts, ends)]))
+    start = ~space & np.concatenate([[True], space[:-1]])
+    starts = np.flatnonzero(start)
     if not len(starts):
-        return np.empty(0, np.uint64), counts
-    of = np.cumsum(~space & np.concatenate([[True], space[:-1]])) - 1
-    position = np.arange(len(buffer)) - starts[np.maximum(of, 0)]
+        return starts, np.empty(0, np.uint64)
+    position = np.arange(len(buffer), dtype=np.int32)
+    position -= starts.astype(np.int32)[np.maximum(np.cumsum(start, dtype=np.int32) - 1, 0)]
     position[space] = 0
     value = _BYTE[buffer] * _powers(int(position.max()) + 1)[position]
-    return mix64(np.add.reduceat(value, starts)), counts
+    return starts, mix64(np.add.reduceat(value, starts))
+
+
+def words(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and the number of words of each text."""
+    buffer = np.frombuffer(b" ".join(datas) + b" ", np.uint8)
+    places, hashes, at = [], [], 0
+    while at < len(buffer):  # long texts in parts that end with a space
+        end = min(at + PART_BYTES, len(buffer))
+        while end < len(buffer) and not _SPACE[buffer[end - 1]]:
+            more = np.flatnonzero(_SPACE[buffer[end : end + PART_BYTES]])
+            end = end + int(more[0]) + 1 if len(more) else min(end + PART_BYTES, len(buffer))
+        found, value = _hashes(buffer[at:end])
+        places.append(found + at)
+        hashes.append(value)
+        at = end
+    ends = np.cumsum([len(d) + 1 for d in datas])
+    counts = np.diff(np.concatenate([[0], np.searchsorted(np.concatenate(places), ends)]))
+    return np.concatenate(hashes), counts
 
 
 def shingle_sets(datas: list[bytes], width: int) -> Iterator[np.ndarray]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seekloom.llm import jaccard_join
 from seekloom.llm.components import components
+from seekloom.llm.shingles import sets_of
 
 
 def brute(rows, width=3, percent=90):
@@ -55,9 +56,40 @@ def test_against_brute_force(documents):
 
 
 def test_large_regions_are_cut_and_stay_exact(documents, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LEAF", 12)
+    cuts, cut = [], jaccard_join._cut
+    monkeypatch.setattr(jaccard_join, "REGION_SHINGLES", 900)
+    monkeypatch.setattr(jaccard_join, "_cut", lambda *a: cuts.append(a[2]) or cut(*a))
     texts = near_copies(60, 80, 5, 4) + near_copies(30, 80, 1, 5)
     check(documents, list(enumerate(texts)))
+    assert cuts
+
+
+def region(texts, width=3):
+    return [s for s in sets_of(texts, width)]
+
+
+@pytest.mark.parametrize(("percent", "seed"), [(90, 1), (80, 2), (60, 3), (90, 4)])
+def test_regions_recur_around_pivots_exactly(percent, seed):
+    r = random.Random(seed)
+    texts = [t for k in range(r.randrange(3, 12)) for t in near_copies(r.randrange(1, 40), r.choice([12, 40, 90]), r.randrange(1, 9), 100 * seed + k)]
+    sets = [s for s in region(texts) if len(s)]
+    found = jaccard_join.Region(sets, percent)
+    roots = dict(found.join())
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    assert [roots.get(k, k) for k in range(len(sets))] == want and found.cuts > 1
+
+
+def test_links_come_through_pivots(documents, monkeypatch):
+    """Without the pairs compared at the end of the recursion, links to pivots remain."""
+    monkeypatch.setattr(jaccard_join.Region, "_pairwise", lambda self, members: None)
+    sets = region(near_copies(40, 200, 1, 9))
+    assert len(jaccard_join.Region(sets, 90).join()) == len(sets) - 1
 
 
 def test_keep_one_leaves_one_of_each_class(documents):
