@@ -24,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+from .packed import tidy
+
 RANKS = "byte_bpe_50k.tiktoken"
 #: Texts above so many characters are encoded in pieces of about this length.
 PIECE_CHARS = 16_384
@@ -76,8 +79,9 @@ def encode_table(docs: DataFrame, ranks_path: str | None = None, column: str = "
             ids = [encode(t, ranks_path).astype("i8") for t in batch.column(column).to_pylist()]
             arrays = [*[batch.column(c) for c in kept], pa.array(ids, pa.list_(pa.int64())), pa.array([len(i) for i in ids], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "token_ids", "n_tokens"])
+        tidy()
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def decode_table(tokens: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -89,8 +93,9 @@ def decode_table(tokens: DataFrame, ranks_path: str | None = None) -> DataFrame:
         for batch in batches:
             out = [decode(ids or [], ranks_path) for ids in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.binary())], names=[*kept, "decoded"])
+        tidy()
 
-    return tokens.mapInArrow(run, schema)
+    return bounded(tokens).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -105,8 +110,9 @@ def digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                 ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(encoding(ranks_path).decode_bytes(ids.tolist())).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tidy()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokenized(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -122,9 +128,10 @@ def tokenized(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                 rows.append((len(ids), data, hashlib.sha256(data).hexdigest(), hashlib.sha256(encoding(ranks_path).decode_bytes(ids.tolist())).hexdigest()))
             arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:3]], *arrays], names=names)
+        tidy()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
-    return rows.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, token_ids binary, ids_sha256 string, decoded_sha256 string")
+    return bounded(rows).mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, token_ids binary, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of
+from .common import bounded, bucket_of
+from .packed import tidy
 
 #: Bound of the labelled rows the model is fitted on.
 SAMPLE_ROWS = 3_000
@@ -42,7 +43,7 @@ LENGTHS = (30, 100, 300, 1_000)
 #: Training distances that a limit is read from.
 ENOUGH = 20
 #: Texts are hashed in groups of about so many characters.
-GROUP_CHARS = 400_000
+GROUP_CHARS = 200_000
 
 _fold: np.ndarray | None = None
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
@@ -75,7 +76,6 @@ def counts(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
     h1 = c * _A
     h2 = h1[:-1] ^ (c[1:] * _B)
     h3 = h2[:-1] ^ (c[2:] * _C)
-    out = np.zeros((len(texts), dimensions), np.float32)
     mask = np.uint32(dimensions - 1)
     flat = []
     for n, h in ((1, h1), (2, h2), (3, h3)):
@@ -83,8 +83,7 @@ def counts(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
         h ^= h >> np.uint32(13)
         ok = (of[n - 1 :] == of[: len(h)]) & (letter[: len(h)] if n == 1 else (letter[1 : 1 + len(h)] | letter[: len(h)]))
         flat.append((of[: len(h)].astype(np.int64) * dimensions + (h & mask))[ok])
-    np.add.at(out.reshape(-1), np.concatenate(flat), 1)
-    return out
+    return np.bincount(np.concatenate(flat), minlength=len(texts) * dimensions).astype(np.float32).reshape(len(texts), dimensions)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -168,7 +167,7 @@ def _groups(texts: list[str | None]):
     at, size = 0, 0
     for k, t in enumerate(texts):
         size += len(t or "")
-        if size >= GROUP_CHARS or k - at >= 255:
+        if size >= GROUP_CHARS or k - at >= 127:
             yield texts[at : k + 1]
             at, size = k + 1, 0
     if at < len(texts):
@@ -200,11 +199,13 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                 if len(taken[lang]) < each:
                     taken[lang].append(v)
         langs = [k for k in sorted(taken) for _ in taken[k]]
-        tf = np.stack([np.frombuffer(v, np.uint16) for k in sorted(taken) for v in taken[k]]).astype(np.float32)
+        tf = np.stack([np.frombuffer(v, np.uint16) for k in sorted(taken) for v in taken[k]])
+        taken.clear()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model(tf, langs))], pa.binary())], names=["model"])
+        tidy()
 
     # the bounded sample meets in one task, which returns the model alone
-    sample = picked.mapInArrow(vectors, "lang string, u double, v binary").orderBy("u", "lang", "v").limit(int(1.25 * sample_rows) + 20 * len(found))
+    sample = bounded(picked).mapInArrow(vectors, "lang string, u double, v binary").orderBy("u", "lang", "v").limit(int(1.25 * sample_rows) + 20 * len(found))
     return pickle.loads(sample.mapInArrow(learn, "model binary").first().model)
 
 
@@ -224,8 +225,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 score += b.tolist()
                 rejected += c.tolist()
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*kept, "lang_pred", "score", "rejected"])
+        tidy()
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
