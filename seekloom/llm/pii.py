@@ -10,11 +10,20 @@ outside base matches its context. Co-occurrence by document over the whole corpu
 tells how much a term t reveals: PMI(t, e) = log(p(e | t) / p(e)), against the
 entity's information content IC(e) = -log p(e). Where PMI >= DISCLOSURE * IC, that
 is p(e | t) >= p(e) ** (1 - DISCLOSURE), the term discloses the entity and is
-generalised wherever it occurs, in documents without the entity too. p(e | t)
-needs the number of documents with t, counted over all texts. Pairs seen in fewer
-than SUPPORT different texts say nothing, so that copies of one document alone
-are no evidence. Terms are compared in lower case and found in a text by the
-forms it has them in, so letters of any script fold alike.
+masked wherever it occurs, in documents without the entity too. p(e | t) needs the
+number of documents with t, counted over all texts. Pairs seen in fewer than
+SUPPORT different texts say nothing, so that copies of one document alone are no
+evidence. Terms are compared in lower case and found in a text by the forms it
+has them in, so letters of any script fold alike.
+
+Generalisation comes first: a term is replaced by its broader class (number, code,
+name or word). The class is held against the same threshold, by the documents that
+would show it: if it still discloses an entity that the term discloses, the term is
+removed, which leaves the mark of any removed term.
+
+Entities that occur in the same texts have the same counts with every term, and so
+do terms with every entity: pairs are counted between such groups (told apart by
+128 bits of their texts' hashes), not between all entities and words of a text.
 
 Defined cases: a null text is empty and has no spans; a null doc_id is carried;
 repeated rows get the same spans each; an empty table gives an empty result;
@@ -42,24 +51,40 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 DISCLOSURE = 0.8
 #: Different texts that a pair must occur in.
 SUPPORT = 2
-TERM = r"\p{L}{4,}+"
+TERM = r"[\p{L}\p{M}\p{N}]{2,}+"
+#: Broader classes of terms: what stands for them, and what a term of the class is. A name has a capital wherever it occurs.
+CLASSES = {"<NUMBER>": r"^\p{N}+$", "<CODE>": r"\p{N}", "<NAME>": r"^\p{Lu}", "<WORD>": ""}
+REMOVED = "<TERM>"
 #: What stands for a removed span of each kind.
-MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
+MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
+#: Terms, and texts with their spans, are broadcast up to so many rows (some 30 MB); beyond, they are joined by shuffle.
+BROADCAST_TERMS, BROADCAST_TEXTS = 400_000, 100_000
+_SPANS = "array<struct<start:int,end:int,value:string>>"
+#: Matches are gathered in groups of this size, so that adding one does not copy all before it.
+_GROUP = 128
 
 
-def matches(text: Column, pattern: Column | str) -> Column:
-    """array<struct<start,end,value>> of all leftmost matches, in code points."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
+def matches(text: Column, pattern: str, wanted=None) -> Column:
+    """array<struct<start,end,value>> of all leftmost matches, in code points; only those of wanted(value) if given."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["g"]) + F.length(x["m"])).cast("int").alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).cast("int").alias("start"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).cast("int").alias("end"), x["m"].alias("value")))).alias("out"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    none = F.array().cast(_SPANS)
+
+    def step(acc, x):
+        start = (acc["at"] + F.length(x["g"])).cast("int")
+        end = (start + F.length(x["m"])).cast("int")
+        added = F.concat(acc["last"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"))))
+        full = F.size(acc["last"]) >= _GROUP
+        take = F.lit(True) if wanted is None else wanted(x["m"])
+        return F.struct(
+            end.alias("at"),
+            F.when(full, F.concat(acc["done"], F.array(acc["last"]))).otherwise(acc["done"]).alias("done"),
+            F.when(take, F.when(full, F.slice(added, -1, 1)).otherwise(added)).when(full, none).otherwise(acc["last"]).alias("last"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("done"), none.alias("last"))
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(F.regexp_like(text, pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(pairs, start, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["last"]))).otherwise(none)
 
 
 def _luhn(value: Column) -> Column:
@@ -87,82 +112,107 @@ def base_spans(text: Column) -> Column:
     def of(k: int, kind: str) -> Column:
         found = matches(text, PATTERNS[kind])
         if NEEDS[kind]:
-            found = F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+            found = F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(F.array().cast(_SPANS))
         found = F.filter(found, lambda x: _valid(kind, x["value"]))
         return F.transform(found, lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
 
     return F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)])
 
 
-def _sorted(spans: Column) -> Column:
-    """array<struct<start, back, kind>> by start, the longest first."""
-    return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-
-
-def _replaced(text: Column, spans: Column, by) -> Column:
-    """text with by(kind) in place of each span; overlapping spans become one."""
+def _replaced(text: Column, spans: Column) -> Column:
+    """text with its mask in place of each span of array<struct<start, end, mask, ..>>; overlapping spans become one."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["mask"].alias("mask"))))
     step = lambda acc, s: F.when(-s["back"] <= acc["at"], acc).otherwise(
-        F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), by(s["kind"]))).otherwise(F.lit(""))).alias("out"))
+        F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["mask"])).otherwise(F.lit(""))).alias("out"))
     )
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(_sorted(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def _words(text: Column, spans: Column) -> Column:
     """The different words outside the spans, as the text has them."""
-    outside = F.when(F.size(spans) > 0, _replaced(text, spans, lambda kind: F.lit(" "))).otherwise(text)
+    blank = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("mask")))
+    outside = F.when(F.size(spans) > 0, _replaced(text, blank)).otherwise(text)
     return F.array_distinct(F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)))
 
 
+def _checked(table: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def observe(docs: DataFrame) -> DataFrame:
+    """(a, b, base, entities, words) of each text that is not null: a and b are its two hashes. Found once, kept in the shared folder."""
+    entity = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))
+    rows = docs.where("text is not null").select(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), "text", base_spans(F.col("text")).alias("base"))
+    return save(rows.select("a", "b", "base", F.array_distinct(F.transform("base", entity)).alias("entities"), _words(F.col("text"), F.col("base")).alias("words")), "pii-words")
+
+
+def _above(n_both: Column, n_term: Column, n_entity: Column, n_docs: float, disclosure: float) -> Column:
+    """Whether PMI reaches the threshold, from document counts."""
+    p_e = n_entity / F.lit(n_docs)
+    return (p_e < 1) & (F.log(F.least(F.lit(1.0), n_both / n_term) / p_e) >= disclosure * -F.log(p_e))
+
+
 def disclosing(rows: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(term): the terms whose co-occurrence with some entity in the corpus exceeds the threshold.
+    """(a, b, word, mask): the words of each text that disclose some entity of the corpus, with what stands for them.
 
-    rows: (text_id, entities, words) of every document whose text is not null.
+    rows: the table of observe().
     """
     n_docs = float(rows.count() or 1)
     # copies of a text have its entities and terms
-    texts = rows.where(F.size("entities") > 0).groupBy("text_id").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words"))
-    texts = save(texts.withColumn("terms", F.array_distinct(F.transform("words", F.lower))).drop("words"), "pii-texts")
-    entities = texts.select("copies", F.explode("entities").alias("_e")).groupBy("_e").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("_n")).where(F.col("_n") >= support)
-    held = texts.select("text_id", "copies", F.explode("entities").alias("entity")).join(entities, F.col("entity") == F.col("_e")).select("text_id", "copies", "entity", "n_entity")
-    held = save(held, "pii-entities")
+    texts = rows.where(F.size("entities") > 0).groupBy("a", "b", "entities", "words").agg(F.count("*").alias("copies"))
+    texts = save(texts.select("a", "b", "copies", "entities", F.array_distinct(F.transform("words", F.lower)).alias("terms")), "pii-texts")
+    held = texts.select("a", "b", "copies", F.explode("entities").alias("entity"))
+    groups = held.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("n"), F.bit_xor("a").alias("e1"), F.bit_xor("b").alias("e2")).where(F.col("n") >= support).drop("n")
+    held = save(held.join(groups, "entity").select("a", "b", "copies", "e1", "e2", "n_entity").distinct(), "pii-entities")
     # p(e | t) reaches the threshold for at most so many documents with t, as n_both <= n_entity
-    most = (F.col("n_entity") * F.pow(F.lit(n_docs) / F.col("n_entity"), F.lit(1 - disclosure)) * (1 + 1e-9)).alias("most")
-    caps = held.groupBy("text_id").agg(F.max("n_entity").alias("n_entity")).select(F.col("text_id").alias("_id"), most)
-    named = save(texts.join(caps, F.col("text_id") == F.col("_id")).select("text_id", "most", F.explode("terms").alias("term")), "pii-terms")
-    # document frequency of every term over all texts; only terms that may pass are kept
-    df = rows.select(F.explode(F.array_distinct(F.transform("words", F.lower))).alias("_t")).groupBy("_t").agg(F.count("*").alias("n_term"))
-    df = save(df.join(named.groupBy("term").agg(F.max("most").alias("_most")), F.col("_t") == F.col("term")).where("n_term <= _most").select("_t", "n_term"), "pii-df")
-    rare = named.join(df, F.col("term") == F.col("_t")).where("n_term <= most").select(F.col("text_id").alias("_id"), "term", "n_term")
-    pairs = held.join(rare, F.col("text_id") == F.col("_id")).groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_texts"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
-    p_e = F.col("n_entity") / F.lit(n_docs)
-    pmi = F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) / p_e)
-    return pairs.where((F.col("n_texts") >= support) & (p_e < 1) & (pmi >= disclosure * -F.log(p_e))).select("term").distinct()
+    most = F.col("n_entity") * F.pow(F.lit(n_docs) / F.col("n_entity"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    caps = held.groupBy("a", "b").agg(F.max(most).alias("most"))
+    named = texts.join(caps, ["a", "b"]).select("a", "b", "most", F.explode("terms").alias("term"))
+    terms = save(named.groupBy("term").agg(F.max("most").alias("most"), F.count("*").alias("n")).where(F.col("n") >= support).drop("n"), "pii-terms")
+    # document frequency over all texts, of the terms that may pass
+    every = rows.select(F.explode(F.array_distinct(F.transform("words", F.lower))).alias("term")).join(_checked(terms.select("term"), BROADCAST_TERMS), "term", "left_semi")
+    rare = save(every.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term").where("n_term <= most").select("term", "n_term"), "pii-df")
+    occurs = named.join(_checked(rare, BROADCAST_TERMS), "term").where("n_term <= most").select("a", "b", "term", "n_term")
+    kinds = occurs.groupBy("term", "n_term").agg(F.count("*").alias("n"), F.bit_xor("a").alias("t1"), F.bit_xor("b").alias("t2")).where(F.col("n") >= support)
+    kinds = save(kinds.select("term", "n_term", "t1", "t2"), "pii-kinds")
+    within = occurs.join(_checked(kinds.drop("n_term"), BROADCAST_TERMS), "term").select("a", "b", "t1", "t2").distinct()
+    pairs = held.join(within, ["a", "b"]).groupBy("e1", "e2", "t1", "t2").agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_texts"), F.max("n_entity").alias("n_entity")).where(F.col("n_texts") >= support)
+    above = _above(F.col("n_both"), F.col("n_term"), F.col("n_entity"), n_docs, disclosure)
+    flagged = save(pairs.join(kinds, ["t1", "t2"]).where(above).select("term", "e1", "e2"), "pii-flagged")
+    # the flagged words of each text in the forms it has them in
+    known = _checked(flagged.select("term").distinct(), BROADCAST_TERMS)
+    forms = rows.select("a", "b", F.explode("words").alias("word")).join(known, F.lower("word") == F.col("term")).groupBy("a", "b", "word", "term").agg(F.count("*").alias("copies"))
+    forms = save(forms, "pii-forms")
+    capital = F.min(F.regexp_like("word", F.lit(CLASSES["<NAME>"])).cast("int")) == 1
+    kind = F.when(F.regexp_like("term", F.lit(CLASSES["<NUMBER>"])), "<NUMBER>").when(F.regexp_like("term", F.lit(CLASSES["<CODE>"])), "<CODE>").when(F.col("capital"), "<NAME>").otherwise("<WORD>")
+    classes = save(forms.groupBy("term").agg(capital.alias("capital")).select("term", kind.alias("class")), "pii-classes")
+    # the documents that would show a class, held against the entities that its terms disclose
+    shown = forms.join(classes, "term").select("a", "b", "class", "copies").distinct()
+    shown = save(shown.groupBy("a", "b", "class").agg(F.max("copies").alias("copies")), "pii-shown")
+    n_class = F.broadcast(shown.groupBy("class").agg(F.sum("copies").alias("n_class")))  # four rows
+    both = held.join(shown.drop("copies"), ["a", "b"]).groupBy("e1", "e2", "class").agg(F.sum("copies").alias("n_both"), F.max("n_entity").alias("n_entity")).join(n_class, "class")
+    telling = both.where(_above(F.col("n_both"), F.col("n_class"), F.col("n_entity"), n_docs, disclosure)).select("e1", "e2", "class")
+    removed = flagged.join(classes, "term").join(telling, ["e1", "e2", "class"], "left_semi").select("term").distinct().withColumn("gone", F.lit(True))
+    masks = save(classes.join(removed, "term", "left").select("term", F.when(F.col("gone"), F.lit(REMOVED)).otherwise(F.col("class")).alias("mask")), "pii-masks")
+    return forms.join(_checked(masks, BROADCAST_TERMS), "term").select("a", "b", "word", "mask")
 
 
 def _find(docs: DataFrame, disclosure: float, support: int) -> DataFrame:
-    """docs with __pii_spans: array<struct<kind string, start int, end int>>, base ones by kind and start, then terms.
-
-    The entities and different words of each row are found once and kept in the
-    shared folder; the texts are not written.
-    """
-    tagged = docs.withColumn("__pii_base", base_spans(F.coalesce(F.col("text"), F.lit(""))))
-    entity = lambda b: F.concat(b["kind"].cast("string"), F.lit(":"), F.lower(b["value"]))
-    rows = tagged.where("text is not null").select(F.xxhash64("text").alias("text_id"), F.array_distinct(F.transform("__pii_base", entity)).alias("entities"), _words(F.col("text"), F.col("__pii_base")).alias("words"))
-    rows = save(rows, "pii-words")
-    flagged = save(disclosing(rows, disclosure, support), "pii-flagged")
-    # the flagged words of each text in the forms it has them in: equal texts share them
-    spelt = rows.select("text_id", F.explode("words").alias("word"))
-    todo = spelt.join(flagged, F.lower("word") == F.col("term")).groupBy("text_id").agg(F.sort_array(F.collect_set("word")).alias("__pii_todo"))  # at most the words of one text
-    todo = save(todo, "pii-todo").withColumnRenamed("text_id", "__pii_id")
-    out = tagged.withColumn("__pii_text", F.xxhash64("text")).join(todo, F.col("__pii_text") == F.col("__pii_id"), "left")
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("__pii_todo", "|"), F.lit(r")(?!\p{L})"))
-    inside = lambda t: F.exists("__pii_base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"]))
-    terms = F.when(F.col("__pii_todo").isNotNull(), F.filter(matches(F.col("text"), pattern), lambda t: ~inside(t))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    label = F.array(*[F.lit(k) for k in KINDS])
+    """docs with __pii_spans: array<struct<kind string, start int, end int, mask string>>, base ones by kind and start, then terms."""
+    rows = observe(docs)
+    todo = disclosing(rows, disclosure, support).groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("word", "mask"))).alias("todo"))  # at most the words of one text
+    base = rows.where(F.size("base") > 0).select("a", "b", "base").distinct()
+    found = save(base.join(todo, ["a", "b"], "full").select(F.col("a").alias("__pii_a"), F.col("b").alias("__pii_b"), F.col("base").alias("__pii_base"), F.map_from_entries("todo").alias("__pii_todo")), "pii-found")
+    keyed = docs.withColumns({"__pii_x": F.xxhash64("text"), "__pii_y": F.xxhash64("text", F.lit(1))})
+    out = keyed.join(_checked(found, BROADCAST_TEXTS), (F.col("__pii_x") == F.col("__pii_a")) & (F.col("__pii_y") == F.col("__pii_b")) & F.col("text").isNotNull(), "left")
+    inside = lambda t: F.exists("__pii_base", lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"]))
+    terms = F.filter(matches(F.col("text"), TERM, lambda w: F.map_contains_key("__pii_todo", w)), lambda t: F.col("__pii_base").isNull() | ~inside(t))
+    label, mask = F.array(*[F.lit(k) for k in KINDS]), F.array(*[F.lit(MASKS[k]) for k in KINDS])
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,mask:string>>")
     spans = F.concat(
-        F.transform("__pii_base", lambda b: F.struct(F.get(label, b["kind"]).alias("kind"), b["start"].alias("start"), b["end"].alias("end"))),
-        F.transform(terms, lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"))),
+        F.coalesce(F.transform("__pii_base", lambda s: F.struct(F.get(label, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.get(mask, s["kind"]).alias("mask"))), none),
+        F.when(F.col("__pii_todo").isNotNull(), F.transform(terms, lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.element_at("__pii_todo", t["value"]).alias("mask")))).otherwise(none),
     )
     return out.select(*docs.columns, spans.alias("__pii_spans"))
 
@@ -170,7 +220,8 @@ def _find(docs: DataFrame, disclosure: float, support: int) -> DataFrame:
 def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """docs with spans: array<struct<kind string, start int, end int>>; a column of that name is replaced."""
     kept = [c for c in docs.columns if c != "spans"]
-    return _find(docs, disclosure, support).select(*kept, F.col("__pii_spans").alias("spans"))
+    plain = F.transform("__pii_spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return _find(docs, disclosure, support).select(*kept, plain.alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -187,8 +238,7 @@ def op1_pii(docs: DataFrame) -> DataFrame:
 def sanitize(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """docs with every span replaced by its mask, and n_chars (if there) set anew. Overlapping spans become one."""
     found = _find(docs, disclosure, support)
-    masks = F.create_map(*[F.lit(x) for k in MASKS.items() for x in k])
-    masked = _replaced(F.col("text"), F.col("__pii_spans"), lambda kind: F.element_at(masks, kind))
+    masked = _replaced(F.col("text"), F.col("__pii_spans"))
     out = found.withColumn("text", F.when(F.size("__pii_spans") > 0, masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("__pii_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

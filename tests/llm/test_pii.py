@@ -1,6 +1,10 @@
 import hashlib
+import math
+import random
 import re
 
+import regex
+
 from pyspark.sql import functions as F
 
 from seekloom.llm import pii
@@ -58,6 +62,91 @@ def test_terms_that_give_an_entity_away_are_masked(documents):
     assert pii.sanitize(frame).columns == frame.columns
 
 
+def brute_terms(texts, disclosure=0.8, support=2):
+    """(start, end, mask) of every term span of each text, and the sanitised text, by definition: every entity against every term."""
+    rows = []
+    for text in texts:
+        base = [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in brute(text).split(",") if x]
+        rest = list(text)
+        for _, s, e in base:
+            rest[s:e] = " " * (e - s)
+        words = [(m.start(), m.end(), m.group()) for m in regex.finditer(pii.TERM, "".join(rest))]
+        rows.append((text, base, {(k, text[s:e].lower()) for k, s, e in base}, words, {w.lower() for *_, w in words}))
+    n = len(rows)
+
+    def tells(entity, has):
+        both = [r for r in rows if entity in r[2] and has(r)]
+        p_e = sum(entity in r[2] for r in rows) / n
+        n_t = sum(map(has, rows))
+        return len({r[0] for r in both}) >= support and p_e < 1 and math.log(min(1, len(both) / n_t) / p_e) >= disclosure * -math.log(p_e)
+
+    entities = sorted({e for r in rows for e in r[2]})
+    flagged = {}
+    for t in {t for r in rows if r[2] for t in r[4]}:
+        if told := [e for e in entities if tells(e, lambda r: t in r[4])]:
+            flagged[t] = told
+
+    def kind(t):
+        if re.fullmatch(r"[0-9]+", t):
+            return "<NUMBER>"
+        if re.search("[0-9]", t):
+            return "<CODE>"
+        return "<NAME>" if all(w[0].isupper() for r in rows for *_, w in r[3] if w.lower() == t) else "<WORD>"
+
+    kinds = {t: kind(t) for t in flagged}
+
+    def shown(e, c):
+        has = lambda r: any(kinds.get(t) == c for t in r[4])
+        both = sum(e in r[2] and has(r) for r in rows)
+        p_e = sum(e in r[2] for r in rows) / n
+        return both and math.log(both / sum(map(has, rows)) / p_e) >= disclosure * -math.log(p_e)
+
+    mask = {t: "<TERM>" if any(shown(e, kinds[t]) for e in told) else kinds[t] for t, told in flagged.items()}
+    out = []
+    for text, base, _, words, _ in rows:
+        spans = [(s, e, mask[w.lower()]) for s, e, w in words if w.lower() in mask]
+        clean = text
+        for s, e, by in sorted(spans + [(s, e, pii.MASKS[k]) for k, s, e in base], reverse=True):
+            clean = clean[:s] + by + clean[e:]
+        out.append((spans, clean))
+    return out
+
+
+def test_terms_equal_brute_force(documents):
+    r = random.Random(11)
+    common = "the of and to in is that it was for on with as at by".split()
+    people = [(f"Name{chr(97 + k)}", f"p{k}@corp{k % 3}.org", f"ref{k}x", str(4000 + k)) for k in range(12)]
+    texts = []
+    for k in range(260):
+        words = [r.choice(common) for _ in range(r.randrange(3, 30))]
+        for name, mail, code, number in r.sample(people, r.randrange(3)):
+            words += [x for x in (name, mail, code, number, name.upper(), "Wu", f"u{r.randrange(40)}") if r.random() < 0.6]
+        r.shuffle(words)
+        texts.append(" ".join(words))
+    texts += texts[:30] + [" ".join(f"{w} {m}" for w, m, *_ in people)] * 2 + ["Namea alone", "ref3x and Nameb", ""]
+    want = brute_terms(texts)
+    frame = documents(texts, extra=True)
+    spans = {r.doc_id: r.spans for r in pii.op1_pii(frame).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitize(frame).collect()}
+    masks = set()
+    for k, (terms, text) in enumerate(want):
+        assert [s for s in spans[k].split(",") if s.startswith("term:")] == [f"term:{s}:{e}" for s, e, _ in terms], k
+        assert clean[k] == text
+        masks |= {m for *_, m in terms}
+    assert masks >= {"<CODE>", "<NAME>", "<NUMBER>"}
+
+
+def test_repeated_rows_null_ids_and_clashing_names(documents):
+    texts = ["Boss Zaphodius z@heart.org uno", "Boss Zaphodius z@heart.org dos", None, *[f"an ordinary text {k}" for k in range(60)]]
+    frame = documents(texts, ids=[None, 1, 2, *range(3, 63)], extra=True)
+    for name in ("a", "b", "base", "word", "term", "copies", "todo", "mask"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    twice = frame.unionByName(frame)
+    got = [(r.doc_id, r.spans) for r in pii.op1_pii(twice).collect()]
+    assert len(got) == 2 * len(texts) and got.count((None, "email:15:26,term:0:4,term:5:14")) == 2 and got.count((2, "")) == 2
+    assert pii.sanitize(twice).columns == frame.columns and pii.sanitize(twice).where("a = 'clash'").count() == 2 * len(texts)
+
+
 def test_empty_table(documents):
     assert pii.op1_pii(documents(["x"]).limit(0)).count() == 0
     assert pii.sanitize(documents([None, "a@b.cd"])).orderBy("doc_id").collect()[1].text == "<EMAIL>"
