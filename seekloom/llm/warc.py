@@ -3,7 +3,8 @@
 Writing: every task writes one gzip-per-record archive to the shared folder
 under a temporary name, renames it when complete and returns one manifest row;
 only archives in the manifest are read, so a lost or repeated task leaves no
-wrong rows. Payloads are compressed chunk by chunk.
+wrong rows. Payloads are compressed chunk by chunk. Nothing in a record hangs on
+the run that wrote it: the same rows in the same order are the same bytes.
 
 Reading: records are decompressed in steps of CHUNK bytes and become rows
 (record_id, chunk_no, data, length, digest), where length and digest are those of
@@ -11,12 +12,16 @@ the payload up to and with that chunk: an incremental digest travels along, and
 no record is ever held whole. The row marked last holds the whole payload's.
 
 Equal payloads of at least REVISIT_BYTES are stored once, as the response of the
-smallest page_id; the others are revisit records that refer to it.
+smallest page_id; the others are revisit records that refer to its record by id
+and target. A record's id follows from its page_id, payload and type.
 
 Defined cases: a null html is an empty payload; a null url is an empty target;
-rows that repeat the smallest page_id of equal payloads are all responses; a
-null page_id refers like any other row and is read back as null; an empty table
-gives an empty result; further columns are ignored.
+control characters and spaces of a url are percent-encoded; rows that repeat the
+smallest page_id of equal payloads are all responses, and records of repeated
+rows are told apart within an archive by their number; a null page_id refers like
+any other row and is read back as null; if all page_ids of equal payloads are
+null, all are responses; an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,20 +30,23 @@ import gzip
 import hashlib
 import io
 import itertools
+import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, save
+from .common import bounded, new_path, save
+from .packed import tidy
 
 CHUNK = 1 << 20
 REVISIT_BYTES = 100
-#: A fixed date: archives of the same pages are the same bytes.
+#: A fixed date, so that records do not hang on the run.
 DATE = "2024-01-01T00:00:00Z"
 #: The HTTP head that precedes every payload within its record.
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -48,15 +56,24 @@ def _filesystem(path: str):
     return pafs.FileSystem.from_uri(path)
 
 
-def record_head(page_id, url, kind: str, payload_bytes: int, digest: str, refers_to, serial: str) -> bytes:
-    """The WARC header block of one record."""
+def record_id(page_id, digest: str, kind: str, again: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}:{kind}{again}')}>"
+
+
+def _uri(url: str | None) -> str:
+    """A header line holds the whole url: only what would end the line or the value is encoded."""
+    return "".join(c if c.isprintable() and not c.isspace() else urllib.parse.quote(c, errors="replace") for c in url or "")
+
+
+def record_head(page_id, url, kind: str, payload_bytes: int, digest: str, refers_to, refers_url, again: str = "") -> bytes:
+    """The WARC header block of one record. again: tells records of repeated rows apart."""
     stored = len(HTTP_HEAD) + (payload_bytes if kind == "response" else 0)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, serial)}>",
+        f"WARC-Record-ID: {record_id(page_id, digest, kind, again)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {''.join(c for c in url or '' if c.isprintable())}",
+        f"WARC-Target-URI: {_uri(url)}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"Content-Length: {stored}",
@@ -64,7 +81,12 @@ def record_head(page_id, url, kind: str, payload_bytes: int, digest: str, refers
         f"X-Payload-Length: {payload_bytes}",
     ]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {'' if refers_to is None else refers_to}"]
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {record_id(refers_to, digest, 'response')}",
+            f"WARC-Refers-To-Target-URI: {_uri(refers_url)}",
+            f"X-Refers-To-Page-Id: {refers_to}",
+        ]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
@@ -92,34 +114,39 @@ def write(pages: DataFrame) -> DataFrame:
     folder = new_path(spark, "warc")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    groups = full.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_d"), "first")
-    groups = save(groups, "warc-equal")
+    groups = full.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", F.struct("page_id", "url")).alias("first_url"), F.count("*").alias("n"))
+    groups = save(groups.where("n > 1").select(F.col("digest").alias("_d"), "first", "first_url"), "warc-equal")
     full = full.join(groups, F.col("digest") == F.col("_d"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = full.select("page_id", "url", "size", "digest", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"), F.when(~revisit, F.col("html")).alias("html"))
+    kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("kind")
+    rows = full.select("page_id", "url", "size", "digest", kind, F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_url"), F.when(~revisit, F.col("html")).alias("html"))
 
     def run(batches):
         fs, root = _filesystem(folder)
         fs.create_dir(root, recursive=True)
-        name = f"{root}/{uuid.uuid4().hex}.warc.gz"
+        task = TaskContext.get()
+        # attempts write apart from each other and end as the same archive
+        name, part = f"{root}/{task.partitionId():06d}.warc.gz", f"{root}/{task.partitionId():06d}.{task.taskAttemptId()}.part"
         n = size = 0
-        out = None
+        out, seen = None, set()
         for batch in batches:
             for k in range(batch.num_rows):
-                page_id, url, length, digest, kind, refers_to, text = (batch.column(c)[k].as_py() for c in range(7))
+                page_id, url, length, digest, kind, refers_to, refers_url, text = (batch.column(c)[k].as_py() for c in range(8))
                 if out is None:
-                    out = fs.open_output_stream(f"{name}.part", compression=None)
-                head = record_head(page_id, url, kind, length, digest, refers_to, f"{name}#{n}")
+                    out = fs.open_output_stream(part, compression=None)
+                key = hash((page_id, digest, kind))
+                head = record_head(page_id, url, kind, length, digest, refers_to, refers_url, f"#{n}" if key in seen else "")
+                seen.add(key)
                 size += write_record(out, head, _pieces(text) if kind == "response" else ())
                 n += 1
         if out is not None:
             out.close()
-            fs.move(f"{name}.part", name)
+            fs.move(part, name)
             scheme = folder.split("://")[0] + "://" if "://" in folder else ""
             host = folder[len(scheme) : folder.index(root)] if scheme else ""
             yield pa.RecordBatch.from_arrays([pa.array([f"{scheme}{host}{name}"]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
-    return save(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
+    return save(bounded(rows).mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
 def read_records(stream) -> Iterator[tuple[dict, Iterator[bytes]]]:
@@ -191,9 +218,11 @@ def read(manifest: DataFrame, with_data: bool = True) -> DataFrame:
                                 rows, held = [], 0
         if rows:
             yield batch_of(rows)
+        tidy()
 
-    # a manifest row is an archive; deal the archives out evenly, without its file layout
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, _CHUNKS)
+    # a manifest row is an archive, and each is a task's work: a stated number of partitions is not coalesced
+    archives = manifest.count()
+    return bounded(manifest).select("path").repartition(max(1, archives)).mapInArrow(run, _CHUNKS)
 
 
 class _Raw(io.RawIOBase):

@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 from pyspark.sql import functions as F
 
@@ -24,3 +25,23 @@ def test_repeated_rows_and_empty_table(spark):
     pages = spark.createDataFrame([(1, "u", "z" * 120)] * 3 + [(2, "u", "z" * 120)], "page_id long, url string, html string")
     assert sorted((r.page_id, r.record_type) for r in warc.op4_warc(pages).collect()) == [(1, "response")] * 3 + [(2, "revisit")]
     assert warc.op4_warc(pages.limit(0)).count() == 0
+
+
+def test_archives_are_read_in_parallel_and_written_alike(spark):
+    rows = [(k, f"http://h/{k} a\u00e9", "x" * 150 if k % 5 == 0 else f"<p>{k}" * 30) for k in range(80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).repartition(8, "page_id")
+    first, second = warc.write(pages), warc.write(pages)
+    content = lambda m: {os.path.basename(r.path): open(r.path.removeprefix("file://"), "rb").read() for r in m.collect()}
+    assert content(first) == content(second) and first.count() > 4
+    chunks = warc.read(first)
+    used = chunks.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(used) == first.count() and sum(n > 0 for n in used) == len(used) and sum(used) == 80
+    heads = {h["x-page-id"]: h for path in [r.path for r in first.collect()] for h in _heads(path)}
+    assert heads["5"]["warc-refers-to"] == heads["0"]["warc-record-id"] and heads["5"]["warc-refers-to-target-uri"] == "http://h/0%20a\u00e9"
+
+
+def _heads(path):
+    import gzip
+
+    with gzip.open(path.removeprefix("file://")) as stream:
+        return [h for h, _ in warc.read_records(stream)]
