@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import few, save
 
 KINDS = ("email", "ip", "card", "phone")
 #: A run's middle cannot start a match unless the last match ended there.
@@ -47,10 +47,11 @@ PATTERNS = {
 }
 #: A text without any of these characters has no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Share of an entity's information that a term may give away.
-DISCLOSURE = 0.8
-#: Different texts that a pair must occur in.
-SUPPORT = 2
+#: Share of an entity's information that a term may give away. At 0.95, and an entity in a millionth of the documents, half of
+#: the term's documents hold the entity; lower shares mask every rare word that happens to stand beside a rare entity.
+DISCLOSURE = 0.95
+#: Different texts that a pair must occur in: two may be one document and its near copy.
+SUPPORT = 3
 TERM = r"[\p{L}\p{M}\p{N}]{2,}+"
 #: Broader classes of terms: what stands for them, and what a term of the class is. A name has a capital wherever it occurs.
 CLASSES = {"<NUMBER>": r"^\p{N}+$", "<CODE>": r"\p{N}", "<NAME>": r"^\p{Lu}", "<WORD>": ""}
@@ -143,7 +144,7 @@ def _checked(table: DataFrame, most: int) -> DataFrame:
 def observe(docs: DataFrame) -> DataFrame:
     """(a, b, base, entities, words) of each text that is not null: a and b are its two hashes. Found once, kept in the shared folder."""
     entity = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))
-    rows = docs.where("text is not null").select(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), "text", base_spans(F.col("text")).alias("base"))
+    rows = docs.where("text is not null").select(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), "text", base_spans(F.col("text")).alias("base"))
     return save(rows.select("a", "b", "base", F.array_distinct(F.transform("base", entity)).alias("entities"), _words(F.col("text"), F.col("base")).alias("words")), "pii-words")
 
 
@@ -162,39 +163,42 @@ def disclosing(rows: DataFrame, disclosure: float = DISCLOSURE, support: int = S
     # copies of a text have its entities and terms
     texts = rows.where(F.size("entities") > 0).groupBy("a", "b", "entities", "words").agg(F.count("*").alias("copies"))
     texts = save(texts.select("a", "b", "copies", "entities", F.array_distinct(F.transform("words", F.lower)).alias("terms")), "pii-texts")
+    n_texts = texts.count()
+    # what follows has some rows for each text with an entity
+    small = lambda df, name: save(few(df, n_texts, 20_000), name)
     held = texts.select("a", "b", "copies", F.explode("entities").alias("entity"))
     groups = held.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("n"), F.bit_xor("a").alias("e1"), F.bit_xor("b").alias("e2")).where(F.col("n") >= support).drop("n")
-    held = save(held.join(groups, "entity").select("a", "b", "copies", "e1", "e2", "n_entity").distinct(), "pii-entities")
+    held = small(held.join(groups, "entity").select("a", "b", "copies", "e1", "e2", "n_entity").distinct(), "pii-entities")
     # p(e | t) reaches the threshold for at most so many documents with t, as n_both <= n_entity
     most = F.col("n_entity") * F.pow(F.lit(n_docs) / F.col("n_entity"), F.lit(1 - disclosure)) * (1 + 1e-9)
     caps = held.groupBy("a", "b").agg(F.max(most).alias("most"))
     named = texts.join(caps, ["a", "b"]).select("a", "b", "most", F.explode("terms").alias("term"))
-    terms = save(named.groupBy("term").agg(F.max("most").alias("most"), F.count("*").alias("n")).where(F.col("n") >= support).drop("n"), "pii-terms")
+    terms = small(named.groupBy("term").agg(F.max("most").alias("most"), F.count("*").alias("n")).where(F.col("n") >= support).drop("n"), "pii-terms")
     # document frequency over all texts, of the terms that may pass
     every = rows.select(F.explode(F.array_distinct(F.transform("words", F.lower))).alias("term")).join(_checked(terms.select("term"), BROADCAST_TERMS), "term", "left_semi")
-    rare = save(every.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term").where("n_term <= most").select("term", "n_term"), "pii-df")
+    rare = small(every.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term").where("n_term <= most").select("term", "n_term"), "pii-df")
     occurs = named.join(_checked(rare, BROADCAST_TERMS), "term").where("n_term <= most").select("a", "b", "term", "n_term")
     kinds = occurs.groupBy("term", "n_term").agg(F.count("*").alias("n"), F.bit_xor("a").alias("t1"), F.bit_xor("b").alias("t2")).where(F.col("n") >= support)
-    kinds = save(kinds.select("term", "n_term", "t1", "t2"), "pii-kinds")
+    kinds = small(kinds.select("term", "n_term", "t1", "t2"), "pii-kinds")
     within = occurs.join(_checked(kinds.drop("n_term"), BROADCAST_TERMS), "term").select("a", "b", "t1", "t2").distinct()
     pairs = held.join(within, ["a", "b"]).groupBy("e1", "e2", "t1", "t2").agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_texts"), F.max("n_entity").alias("n_entity")).where(F.col("n_texts") >= support)
     above = _above(F.col("n_both"), F.col("n_term"), F.col("n_entity"), n_docs, disclosure)
-    flagged = save(pairs.join(kinds, ["t1", "t2"]).where(above).select("term", "e1", "e2"), "pii-flagged")
+    flagged = small(pairs.join(kinds, ["t1", "t2"]).where(above).select("term", "e1", "e2"), "pii-flagged")
     # the flagged words of each text in the forms it has them in
     known = _checked(flagged.select("term").distinct(), BROADCAST_TERMS)
     forms = rows.select("a", "b", F.explode("words").alias("word")).join(known, F.lower("word") == F.col("term")).groupBy("a", "b", "word", "term").agg(F.count("*").alias("copies"))
-    forms = save(forms, "pii-forms")
+    forms = small(forms, "pii-forms")
     capital = F.min(F.regexp_like("word", F.lit(CLASSES["<NAME>"])).cast("int")) == 1
     kind = F.when(F.regexp_like("term", F.lit(CLASSES["<NUMBER>"])), "<NUMBER>").when(F.regexp_like("term", F.lit(CLASSES["<CODE>"])), "<CODE>").when(F.col("capital"), "<NAME>").otherwise("<WORD>")
-    classes = save(forms.groupBy("term").agg(capital.alias("capital")).select("term", kind.alias("class")), "pii-classes")
+    classes = small(forms.groupBy("term").agg(capital.alias("capital")).select("term", kind.alias("class")), "pii-classes")
     # the documents that would show a class, held against the entities that its terms disclose
     shown = forms.join(classes, "term").select("a", "b", "class", "copies").distinct()
-    shown = save(shown.groupBy("a", "b", "class").agg(F.max("copies").alias("copies")), "pii-shown")
+    shown = small(shown.groupBy("a", "b", "class").agg(F.max("copies").alias("copies")), "pii-shown")
     n_class = F.broadcast(shown.groupBy("class").agg(F.sum("copies").alias("n_class")))  # four rows
     both = held.join(shown.drop("copies"), ["a", "b"]).groupBy("e1", "e2", "class").agg(F.sum("copies").alias("n_both"), F.max("n_entity").alias("n_entity")).join(n_class, "class")
     telling = both.where(_above(F.col("n_both"), F.col("n_class"), F.col("n_entity"), n_docs, disclosure)).select("e1", "e2", "class")
     removed = flagged.join(classes, "term").join(telling, ["e1", "e2", "class"], "left_semi").select("term").distinct().withColumn("gone", F.lit(True))
-    masks = save(classes.join(removed, "term", "left").select("term", F.when(F.col("gone"), F.lit(REMOVED)).otherwise(F.col("class")).alias("mask")), "pii-masks")
+    masks = small(classes.join(removed, "term", "left").select("term", F.when(F.col("gone"), F.lit(REMOVED)).otherwise(F.col("class")).alias("mask")), "pii-masks")
     return forms.join(_checked(masks, BROADCAST_TERMS), "term").select("a", "b", "word", "mask")
 
 
@@ -204,7 +208,7 @@ def _find(docs: DataFrame, disclosure: float, support: int) -> DataFrame:
     todo = disclosing(rows, disclosure, support).groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("word", "mask"))).alias("todo"))  # at most the words of one text
     base = rows.where(F.size("base") > 0).select("a", "b", "base").distinct()
     found = save(base.join(todo, ["a", "b"], "full").select(F.col("a").alias("__pii_a"), F.col("b").alias("__pii_b"), F.col("base").alias("__pii_base"), F.map_from_entries("todo").alias("__pii_todo")), "pii-found")
-    keyed = docs.withColumns({"__pii_x": F.xxhash64("text"), "__pii_y": F.xxhash64("text", F.lit(1))})
+    keyed = docs.withColumns({"__pii_x": F.xxhash64("text"), "__pii_y": F.xxhash64(F.lit(1), "text")})
     out = keyed.join(_checked(found, BROADCAST_TEXTS), (F.col("__pii_x") == F.col("__pii_a")) & (F.col("__pii_y") == F.col("__pii_b")) & F.col("text").isNotNull(), "left")
     inside = lambda t: F.exists("__pii_base", lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"]))
     terms = F.filter(matches(F.col("text"), TERM, lambda w: F.map_contains_key("__pii_todo", w)), lambda t: F.col("__pii_base").isNull() | ~inside(t))
