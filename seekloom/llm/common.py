@@ -36,6 +36,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/seekloom/{name}-{uuid.uuid4().hex}"
 
 
+def few(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """df in partitions that follow a known number of rows, eight at least: small tables are not dealt into hundreds of files."""
+    return df.coalesce(max(8, -(-rows // each)))
+
+
 def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 

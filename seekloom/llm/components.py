@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, save_at
+from .common import few, remove, save_at
 
 
 #: One row a node (16 bytes) is broadcast up to so many edges (each has two nodes at most).
@@ -30,16 +30,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     n = current.count()
     seen = None
     for _ in range(most_rounds):
-        few = F.broadcast if n <= BROADCAST_EDGES else lambda x: x
+        held = F.broadcast if n <= BROADCAST_EDGES else lambda x: x
         # large star: neighbours above a node hang on the smallest of its neighbourhood
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.join(few(smallest), F.col("a") == F.col("n")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large, large_path = save_at(large, "cc")
+        large = both.join(held(smallest), F.col("a") == F.col("n")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large, large_path = save_at(few(large, n), "cc")
         # small star: a node and its smaller neighbours hang on the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        moved = large.join(few(low), F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
-        new, new_path = save_at(moved, "cc")
+        moved = large.join(held(low), F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
+        new, new_path = save_at(few(moved, n), "cc")
         state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         remove(spark, path)
         remove(spark, large_path)

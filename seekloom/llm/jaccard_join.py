@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, new_path, save
+from .common import bounded, few, new_path, save
 from .components import components
 from .packed import mapped, pack, slices, store, tidy, unpack
 from .shingles import mix64, sets_of
@@ -421,10 +421,9 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
 
     scan.where("part is not null").select("part", "data").groupBy("part").applyInArrow(_store_levels(plan), "part int").agg(F.count("*")).first()
     near = _rows_of_tokens(docs.where("doc_id is not null"), plan).groupBy("part").applyInArrow(_edges_of_range, "a long, b long")
-    regions = save(components(near), "regions").join(kinds.withColumnRenamed("s", "node"), "node").select("root", F.col("node").alias("s"), "s2", "rep", "n")
-    regions = save(regions, "regions")
+    regions = save(components(near).join(kinds.withColumnRenamed("s", "node"), "node").select("root", F.col("node").alias("s"), "s2", "rep", "n"), "regions")
     sized = regions.groupBy("root").agg(F.sum("n").alias("size")).withColumnRenamed("root", "_root")
-    wanted = save(regions.join(sized, F.col("root") == F.col("_root")).select("rep", "s", "s2", F.col("root").alias("region"), "size"), "wanted")
+    wanted = save(few(regions.join(sized, F.col("root") == F.col("_root")).select("rep", "s", "s2", F.col("root").alias("region"), "size"), regions.count()), "wanted")
 
     def fetched(part: DataFrame) -> DataFrame:
         part = F.broadcast(part) if part.count() <= BROADCAST_ROWS else part
