@@ -2,11 +2,11 @@
 
 DataFrame operations only. Each line with a word is judged on its own:
 
-* punctuation: short (under SHORT words) and without closing punctuation;
+* punctuation: without closing punctuation;
 * navigation: bars or other symbols make up a third of its words or more, or
   it only shouts (three words or more, no lower-case letter), or it repeats
   (six words or more, each word three times and more on average);
-* boilerplate: it holds one of PHRASES.
+* boilerplate: it holds one of PHRASES as whole words.
 
 A text is kept if the base rules pass and the lines that stay hold at least
 KEEP of its words. Repeated passages are found per text as windows of WINDOW
@@ -28,27 +28,30 @@ LEAST_WORDS = 20
 WINDOW = 8
 #: A text fails if more than this percentage of its words is in repeated windows.
 REPEAT_PERCENT = 30
-SHORT = 3
 #: Share of the words that must stay.
 KEEP = 0.5
 SYMBOLS = r"[#*$%&|<>]"
 SPACE = " \t\n\x0b\x0c\r"
-#: Lower-case phrases of boilerplate lines (fixed values).
+#: Lower-case phrases of boilerplate lines, by language (fixed values).
 PHRASES = (
-    "all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy",
-    "use cookies", "cookie policy", "enable javascript", "click here", "sign up", "log in to",
-    "subscribe to our", "read more", "share this", "copyright ©", "powered by", "skip to content",
+    "all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "use cookies", "cookie policy", "enable javascript", "click here", "sign up",
+    "log in to", "subscribe to our", "read more", "share this", "copyright ©", "powered by", "skip to content",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookies verwenden", "hier klicken", "jetzt anmelden", "newsletter abonnieren", "zum inhalt springen",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "utilise des cookies", "cliquez ici", "lire la suite", "se connecter", "aller au contenu",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "utiliza cookies", "haga clic aquí", "leer más", "iniciar sesión", "saltar al contenido",
 )
+CLOSED = r"[.!?…:;\x22'”’»)\]。！？][\x20\x09-\x0D]*$"
+PHRASE = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(PHRASES) + r")(?:[^\p{L}\p{N}]|$)"
 
 
 def line_fails(line: Column) -> Column:
     """Whether one line is dropped; null and blank lines are not judged here."""
     words = F.regexp_count(line, F.lit(WORD))
-    unfinished = (words < SHORT) & ~F.regexp_like(line, F.lit(r"[.!?…:;\x22'”’»)\]。！？][\x20\x09-\x0D]*$"))
+    unfinished = ~F.regexp_like(line, F.lit(CLOSED))
     symbols = F.regexp_count(line, F.lit(SYMBOLS)) * 3 >= words
     shouts = (words >= 3) & (line == F.upper(line)) & (line != F.lower(line))
     repeats = (words >= 6) & (F.size(F.array_distinct(F.split(line, r"[\x20\x09-\x0D]+"))) * 3 <= words)
-    phrase = F.regexp_like(F.lower(line), F.lit("|".join(PHRASES)))
+    phrase = F.regexp_like(F.lower(line), F.lit(PHRASE))
     return unfinished | symbols | shouts | repeats | phrase
 
 
@@ -111,7 +114,7 @@ r AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT doc_id, unnest(
 u AS (SELECT doc_id, unnest(l) AS x FROM w),
 k AS (
   SELECT doc_id, sum(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS n FROM u
-  WHERE NOT (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) < 3 AND NOT regexp_matches(x, '[.!?…:;\x22''”’»)\]。！？][\x20\x09-\x0D]*$'))
+  WHERE regexp_matches(x, '@CLOSED@')
     AND NOT (len(regexp_extract_all(x, '[#*$%&|<>]')) * 3 >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
     AND NOT (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 3 AND x = upper(x) AND x <> lower(x))
     AND NOT (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 6 AND len(list_distinct(regexp_split_to_array(x, '[\x20\x09-\x0D]+'))) * 3 <= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
@@ -124,4 +127,4 @@ k AS (
 )
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND kept_words >= 0.5 * n_words AS kept FROM m
-""".replace("@PHRASES@", "|".join(PHRASES))
+""".replace("@PHRASES@", PHRASE.replace("'", "''")).replace("@CLOSED@", CLOSED.replace("'", "''"))
