@@ -1,9 +1,10 @@
 """Full-text search: a query language compiled to one scan with column expressions.
 
 A query becomes a boolean expression over leaves (terms, phrases, ranges). Per
-document the scan counts each leaf in each field; a global aggregate gives the
-BM25 statistics (one row, broadcast). No token is ever exploded, so a search
-costs one pass over the searched columns and shuffles only its result.
+document the scan counts each leaf in each field by one pass of a pattern, without
+an array of words, and keeps a few numbers a document; a global aggregate over
+these gives the BM25 statistics (one row, broadcast). No token is ever exploded, so
+a search costs one pass over the searched columns and shuffles only its result.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekloom.functions.text import terms
+from seekloom.session import checkpoints
 
 K1, B = 1.2, 0.75
+#: A character of a word, and what stands between words.
+TOKEN, GAP = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]+"
 FIELDS = ("title", "content")
 #: Candidates that one engine passes on.
 CANDIDATES = 160
@@ -113,12 +117,10 @@ def leaves(node: Node) -> list[Leaf]:
     return list(dict.fromkeys(own + [x for p in node.parts for x in leaves(p)]))
 
 
-def _count(tokens: Column, words: tuple[str, ...]) -> Column:
-    if len(words) == 1:
-        return F.size(F.filter(tokens, lambda x: x == words[0]))
-    # places where the whole phrase begins; only those of its first word are looked at
-    starts = F.filter(F.transform(tokens, lambda x, i: F.when(x == words[0], i)), lambda i: i.isNotNull())
-    return F.size(F.filter(starts, lambda i: F.forall(F.transform(F.array(*[F.lit(k) for k in range(1, len(words))]), lambda k: F.coalesce(F.get(tokens, i + k) == F.get(F.array(*[F.lit(w) for w in words]), k), F.lit(False))), lambda ok: ok)))
+def _pattern(words: tuple[str, ...]) -> str:
+    """Matches once at each place where the words stand one after the other; what follows the first is only looked at, so places may overlap."""
+    first, rest = words[0], words[1:]
+    return rf"(?<!{TOKEN}){first}" + (rf"(?={GAP}" + GAP.join(rest) + rf"(?!{TOKEN}))" if rest else rf"(?!{TOKEN})")
 
 
 def search(docs: DataFrame, query: str, fields=FIELDS, keep=("doc_id",), where: Column | None = None) -> DataFrame:
@@ -127,17 +129,19 @@ def search(docs: DataFrame, query: str, fields=FIELDS, keep=("doc_id",), where:
     found = leaves(tree)
     counted = [x for x in found if x.words]
     names = {}
-    columns = [F.size(terms(F.col(f))).alias(f"_len_{f}") for f in fields]
     for k, leaf in enumerate(counted):
         for f in [leaf.field] if leaf.field else fields:
             names[leaf, f] = f"_n{k}_{f}"
     own_fields = list(dict.fromkeys([*fields, *[f for _, f in names]]))
-    columns = [F.size(f"_t_{f}").alias(f"_len_{f}") for f in own_fields]
-    columns += [_count(F.col(f"_t_{f}"), leaf.words).alias(n) for (leaf, f), n in names.items()]
+    count = lambda f, p: F.coalesce(F.regexp_count(f"_t_{f}", F.lit(p)), F.lit(0))
+    columns = [count(f, f"{TOKEN}+").alias(f"_len_{f}") for f in own_fields]
+    columns += [count(f, _pattern(leaf.words)).alias(n) for (leaf, f), n in names.items()]
     ranged = [x.field for x in found if not x.words and x.field]
     needed = list(dict.fromkeys([*keep, *ranged]))
-    tokens = docs.select(*needed, *[terms(F.col(f)).alias(f"_t_{f}") for f in own_fields], *([where.alias("_ok")] if where is not None else []))
-    counts = tokens.select(*needed, *columns, *(["_ok"] if where is not None else []))
+    lowered = docs.select(*needed, *[F.lower(F.col(f)).alias(f"_t_{f}") for f in own_fields], *([where.alias("_ok")] if where is not None else []))
+    # a few numbers a document, counted once for the statistics and the scores
+    checkpoints(docs.sparkSession)
+    counts = lowered.select(*needed, *columns, *(["_ok"] if where is not None else [])).checkpoint()
     # statistics of the whole corpus, one row
     stats = counts.agg(F.count("*").cast("double").alias("_docs"), *[(F.sum(f"_len_{f}") / F.count("*")).alias(f"_avg_{f}") for f in own_fields], *[F.sum((F.col(n) > 0).cast("long")).alias(f"_df{n}") for n in names.values()])
     scored = counts.where(F.col("_ok")) if where is not None else counts
