@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekloom.functions.text import terms
@@ -189,3 +189,39 @@ def postings(docs: DataFrame, fields=FIELDS) -> DataFrame:
     per_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("t")) for f in fields])).alias("x")
     tokens = docs.select("doc_id", per_field).select("doc_id", "x.field", F.posexplode("x.t").alias("pos", "term"))
     return tokens.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def delete_by_term(index: DataFrame, field_name: str, term: str) -> DataFrame:
+    """postings() without the documents that have a term in a field."""
+    gone = index.where((F.col("field") == field_name) & (F.col("term") == term)).select("doc_id").distinct()
+    return index.join(gone, "doc_id", "left_anti")
+
+
+def add(index: DataFrame, docs: DataFrame, fields=FIELDS) -> DataFrame:
+    """postings() with documents added; those of a doc_id that is there already replace the old ones."""
+    return index.join(docs.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(postings(docs, fields).select(*index.columns))
+
+
+def commit(index: DataFrame, path: str, buckets: int = 256) -> None:
+    """Write an index by term bucket, so that a search reads the buckets of its terms; a new path a version."""
+    index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, words: list[str], buckets: int = 256) -> DataFrame:
+    """The postings of some words of a committed index; other buckets are not read."""
+    asked = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int")).distinct().collect()]  # a number a word
+    return spark.read.parquet(path).where(F.col("bucket").isin(asked) & F.col("term").isin(words)).drop("bucket")
+
+
+def any_of(hits: DataFrame, lengths: DataFrame, fields=FIELDS) -> DataFrame:
+    """(doc_id, score): BM25 of the documents that hold any of the words looked up.
+
+    lengths: (doc_id, field, len) of every document and field.
+    """
+    n = lengths.select("doc_id").distinct().agg(F.count("*").cast("double").alias("_n"))
+    means = lengths.groupBy("field").agg(F.sum("len").alias("_sum")).crossJoin(F.broadcast(n)).select(F.col("field").alias("_f"), (F.col("_sum") / F.col("_n")).alias("_avg"), "_n")
+    df = hits.groupBy("field", "term").agg(F.count("*").cast("double").alias("_df"))
+    rows = hits.where(F.col("field").isin(list(fields))).join(F.broadcast(df), ["field", "term"]).join(F.broadcast(means), F.col("field") == F.col("_f")).join(lengths, ["doc_id", "field"])  # a row a word, and a row a field
+    tf = F.col("tf").cast("double")
+    part = F.ln(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("_avg")))
+    return rows.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))

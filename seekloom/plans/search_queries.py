@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seekloom.functions.text import breadcrumb, load_label, reading_level, terms
@@ -123,6 +125,29 @@ def fts_nested_groups(spark, sf):
     return fts.top(fts.search(web_documents(spark, sf), "(with OR from) AND NOT when"))
 
 
+@query("fts_index_update", "WITH " + _TOKENS + """, keep AS (SELECT doc_id FROM listed WHERE field = 'content' AND NOT list_contains(ts, 'with')),
+now AS (SELECT doc_id, field, ts FROM listed WHERE doc_id IN (SELECT doc_id FROM keep) AND doc_id NOT IN (SELECT doc_id FROM docs WHERE lang = 'de') UNION ALL SELECT doc_id, 'title', ['new', 'title'] FROM docs WHERE lang = 'de' UNION ALL SELECT doc_id, 'content', ts FROM listed WHERE field = 'content' AND doc_id IN (SELECT doc_id FROM docs WHERE lang = 'de'))
+SELECT field, count(DISTINCT doc_id)::BIGINT AS docs, sum(len(ts))::BIGINT AS words FROM now WHERE len(ts) > 0 GROUP BY field""")
+def fts_index_update(spark, sf):
+    d = web_documents(spark, sf)
+    index = fts.delete_by_term(fts.postings(d), "content", "with")
+    index = fts.add(index, d.where("lang = 'de'").withColumn("title", F.lit("new title")))
+    return index.groupBy("field", "doc_id").agg(F.sum("tf").alias("n")).groupBy("field").agg(F.count("*").alias("docs"), F.sum("n").alias("words"))
+
+
+@query("fts_index_any", _sql({"a": "with", "b": "from", "c": "when"}, "SELECT doc_id, round(sum(s), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY doc_id"))
+def fts_index_any(spark, sf):
+    from seekloom.session import shared_folder
+
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    d = web_documents(spark, sf)
+    fts.commit(fts.postings(d), path)
+    size = F.regexp_count(F.lower(F.col("x.t")), F.lit(f"{fts.TOKEN}+")).alias("len")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("t")) for f in fts.FIELDS])).alias("x")
+    lengths = d.select("doc_id", each).select("doc_id", "x.field", size)
+    return fts.any_of(fts.lookup(spark, path, ["with", "from", "when"]), lengths)
+
+
 # ------------------------------------------------------------------ vectors
 
 _CENTERS = r"""
