@@ -36,24 +36,30 @@ from pyspark.sql import functions as F
 
 from .common import bounded, bucket_of, new_path, save
 from .packed import mapped, pack, slices, store, tidy, unpack
-from .shingles import mix64, words
+from .shingles import mix64, unmix64, words
 
 #: Texts are counted and scored in groups of about so many characters.
 GROUP_CHARS = 2_000_000
 #: Pairs that a task holds before it packs them.
-HELD_PAIRS = 2_000_000
+HELD_PAIRS = 3_000_000
 #: Bytes of text for each range of hashes, and ranges at least; a power of two is taken.
 RANGE_BYTES = 16_000_000
 LEAST_PARTS = 16
 _START = mix64(np.array([0x5354415254], np.uint64))[0]
 _END = mix64(np.array([0x454E44], np.uint64))[0]
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_K2_INVERSE = np.uint64(pow(int(_K2), -1, 2**64))
 
 
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(before * _K1 + mix64(word * _K2))
 
 
+def second_words(keys: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The word of each pair from its key and its first word: the key is a bijection of it, so it need not travel along."""
+    return unmix64(unmix64(keys) - before * _K1) * _K2_INVERSE
+
+
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all texts with their ends, the hash before each, and tokens per text."""
     hashes, n = words([(t or "").encode().lower() for t in texts])
@@ -100,11 +106,10 @@ def _pairs(train: DataFrame, bits: int) -> DataFrame:
             keys = keys[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             n = np.diff(np.append(first, len(keys))).astype(np.uint32)
-            keys, word, before = keys[first], word[order[first]], before[order[first]]
+            keys, before = keys[first], before[order[first]]
             for part, s in slices(keys, bits):
                 known, place = np.unique(before[s], return_inverse=True)
-                names, at = np.unique(word[s], return_inverse=True)
-                yield part, pack(keys_sorted=keys[s], word_sorted=names, at=at.astype(np.uint32), before_sorted=known, place=place.astype(np.uint32), n=n[s])
+                yield part, pack(keys_sorted=keys[s], before_sorted=known, place=place.astype(np.uint32), n=n[s])
 
         def rows():
             out = list(flush())
@@ -136,7 +141,6 @@ def _merge_pairs(folder: str, bits: int):
         part = key[0].as_py()
         blocks = [unpack(d.as_py()) for d in table.column("data")]
         keys = np.concatenate([b["keys_sorted"] for b in blocks])
-        word = np.concatenate([b["word_sorted"][b["at"]] for b in blocks])
         before = np.concatenate([b["before_sorted"][b["place"]] for b in blocks])
         n = np.concatenate([b["n"] for b in blocks])
         blocks.clear()
@@ -144,7 +148,8 @@ def _merge_pairs(folder: str, bits: int):
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n = np.add.reduceat(n[order].astype(np.int64), first)
-        keys, word, before = keys[first], word[order[first]], before[order[first]]
+        keys, before = keys[first], before[order[first]]
+        word = second_words(keys, before)
         store(folder, f"pair-{part}.keys", keys)
         # one byte a count; the few larger ones stand apart
         store(folder, f"pair-{part}.small", np.minimum(n, 255).astype(np.uint8))

@@ -27,6 +27,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: The odd factor of mix64 and its inverse modulo 2**64.
+_UNMIX = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
+
+
+def unmix64(x: np.ndarray) -> np.ndarray:
+    """The value that mix64() made x of."""
+    x = x ^ (x >> np.uint64(32))
+    x = x * _UNMIX
+    x = x ^ (x >> np.uint64(32))
+    x = x * _UNMIX
+    return x ^ (x >> np.uint64(32))
+
+
 _POWERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
