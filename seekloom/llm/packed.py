@@ -26,7 +26,7 @@ import zstandard
 
 def _planes(values: np.ndarray) -> np.ndarray:
     """Bytes of equal significance side by side, which packs small numbers and small gaps well."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T)
 
 
 def pack(**arrays: np.ndarray) -> bytes:
