@@ -36,7 +36,7 @@ def ipv6(ips: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in ips], columns=["hi", "lo"], dtype="object")
 
 
-def range_lookup(rows: DataFrame, ranges: DataFrame, value: str, most_ranges: int = 2_000_000, slot_bits: int = 16) -> DataFrame:
+def range_lookup(rows: DataFrame, ranges: DataFrame, value: str, slot_bits: int = 16) -> DataFrame:
     """rows with country of the range (start, end, country) that holds value, both ends inclusive.
 
     Ranges do not overlap. Both sides meet by the number's high bits, so this is an

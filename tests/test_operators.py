@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from seekloom.functions import language, urls
+from seekloom.functions import language, text, urls
 from seekloom.operators import analytics, blob, bloom, crawl, fts, fusion, geo, graph, ingest, ranking, rules, understanding, updates, vector
 from seekloom.operators.cache import ResultCache
 from seekloom.sources import files
@@ -318,3 +318,22 @@ def test_archives(spark, tmp_path):
             t.addfile(info, io.BytesIO(body))
     got = {r.id: bytes(r.value)[:3] for r in files.tar_blobs(spark, str(tmp_path)).collect()}
     assert got == {12: b"\x00he", 7: b"\x01\x00\x01"}
+
+
+def test_gates_and_small_columns(spark):
+    assert fusion.gates("a b") == (True, True) and fusion.gates("a " * 8)[0] is False and fusion.gates('"a b"')[1] is False
+    assert fusion.gates("日" * 15)[0] is False
+    assert one(spark, analytics.fingerprint(F.lit("ip"), F.lit("agent"), salt="s")) != one(spark, analytics.fingerprint(F.lit("ip"), F.lit("agent"), salt="t"))
+    assert [one(spark, text.thousands(F.lit(n))) for n in (5, 1500, 2_500_000)] == ["5", "1.5k", "2.5M"]
+    assert [one(spark, text.byte_size(F.lit(n).cast("long"))) for n in (5, 1536, 3 << 20)] == ["5 B", "1.5 KB", "3.0 MB"]
+
+
+def test_ipv6_halves(spark):
+    d = spark.createDataFrame([("::1",), ("2001:db8::ff",), ("1.2.3.4",), ("x",), (None,)], "ip string")
+    got = [(r.h.hi, r.h.lo) if r.h.hi is not None else None for r in d.select(geo.ipv6("ip").alias("h")).collect()]
+    assert got == [(0, 1), (0x20010DB8 << 32, 0xFF), (0, (0xFFFF << 32) | 0x01020304), None, None]
+
+
+def test_quota_gate(spark):
+    sizes = spark.createDataFrame([(2**30,), (2**29,)], "bytes long")
+    assert ingest.within_quota(sizes, 1.5) and not ingest.within_quota(sizes, 1.4) and ingest.within_quota(sizes.limit(0), 0)
