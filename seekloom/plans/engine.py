@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seekloom.functions import urls
 from seekloom.operators import fts, fusion, ranking, understanding, vector
 from seekloom.operators.cache import ResultCache
-from seekloom.session import table
+from seekloom.session import checkpoints, table
 from seekloom.sources.adapters import web_documents
 
 SHOWN, PAGERANK_CUTOFF, RERANK_CUTOFF, PER_DOMAIN = 20, 100, 30, 5
@@ -58,7 +58,8 @@ class SearchEngine:
 
     def _vector_hits(self, text: str) -> DataFrame:
         asked = self.embed(text)
-        centers = vector.centroids(self.vectors)
+        checkpoints(self.spark)
+        centers = vector.centroids(self.vectors).checkpoint()  # a model: counted, probed and assigned with
         chosen = [r.bucket_id for r in vector.probes(centers, asked).collect()]  # a few probe ids
         near = vector.search(vector.assign(self.vectors, centers), chosen, asked)
         return near.select(F.col("vec_id").alias("doc_id"), "score", F.lit("IVF").alias("engine"))
