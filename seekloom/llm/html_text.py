@@ -8,13 +8,15 @@ occur together and in order, so a block stands for its words.
 Tokens with equal occurrence vectors (how often each page of the host has them,
 told apart by a sum of hashes) are one equivalence class. A class of elements is
 valid if it occurs in at least SUPPORT of the host's pages, once per page; its
-members are tags of the template, and classes nest by their elements' paths. A
-class of blocks is the template's own text if its blocks of FIXED_WORDS words or
-more occur in at least SUPPORT of the host's different pages, and in FIXED_PAGES of
-them; it is left out, whatever its elements are called. A block with any other
-word is a slot's and is emitted whole. A page whose text is fixed but for a share
-under 1 - COPY is a copy of others, which says nothing about a template, and keeps
-its text.
+members are tags of the template, and classes nest by their elements' paths. Since
+members share these numbers, elements are tested one by one. A class of blocks is
+the template's own text if one of its blocks has FIXED_WORDS words or more, which
+chance hardly repeats, and it occurs in at least SUPPORT of the host's different
+pages, and in FIXED_PAGES of them; all its blocks are left out, shorter ones too,
+whatever their elements are called. A short block that no such class holds stays.
+A block with any other word is a slot's and is emitted whole. A page whose text is
+fixed but for a share under 1 - COPY is a copy of others, which says nothing about
+a template, and keeps its text.
 
 What stands between the template's tokens are slots. The main slots are the
 article elements of the valid classes, else their main elements, else all that the
@@ -53,7 +55,7 @@ from .packed import tidy
 
 #: Share of a host's pages that a template class occurs in at least.
 SUPPORT = 0.5
-#: A block is fixed text if it has so many words and occurs in so many different pages at least.
+#: A class of blocks is fixed text if one of them has so many words and it occurs in so many different pages at least.
 FIXED_WORDS, FIXED_PAGES = 2, 3
 #: A page with this share of fixed text is a copy of other pages.
 COPY = 0.9
@@ -249,15 +251,16 @@ class Page:
 
 
 def tokens(page: Page) -> list[tuple[int, int, int, int, str]]:
-    """(kind, token, occurrences, characters of text that may be article, role): elements by path (kind 0; path 0 is the page), blocks by id (kind 1)."""
+    """(kind, token, occurrences, characters of text that may be article, role): elements by path (kind 0; path 0 is the page), blocks by id (kind 1; their words in place of characters)."""
     found: dict[int, list] = {}
     for path, chars, role, out in zip(page.path, page.below(page.chars), page.role, page.out, strict=True):
         at = found.setdefault(path, [0, 0, role if not out else ""])
         at[0] += 1
         at[1] += chars
     rows = [(0, path, n, chars, role) for path, (n, chars, role) in found.items()]
-    blocks = Counter(b for b, (_, text) in zip(page.block_ids(), page.blocks, strict=True) if text.count(" ") >= FIXED_WORDS - 1)
-    return rows + [(1, b, n, 0, "") for b, n in blocks.items()]
+    ids = page.block_ids()
+    words = {b: text.count(" ") + 1 for b, (_, text) in zip(ids, page.blocks, strict=True)}
+    return rows + [(1, b, n, words[b], "") for b, n in Counter(ids).items()]
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
@@ -298,17 +301,18 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     rows = occurrences(pages)
     vectors = equivalence_classes(rows)
     hosts = vectors.where("kind = 0 and token = 0").select(F.col("host").alias("_h"), F.col("pages").alias("all_pages"))
-    # classes of elements: frequent, and once in each of their pages
-    classes = vectors.where("kind = 0 and token != 0").groupBy("host", "vector", "pages", "n").agg(F.collect_list(F.when(F.col("role") != "", F.struct("role", "token", "mass"))).alias("named"))  # a role's paths in one template
-    valid = classes.join(hosts, F.col("host") == F.col("_h")).where((F.col("pages") >= support * F.col("all_pages")) & (F.col("n") == F.col("pages")))
-    paths = valid.select("host", F.explode("named").alias("x")).where("x.mass > 0").groupBy("host", "x.role").agg(F.sort_array(F.collect_list("x.token")).alias("paths"))
+    # elements: frequent, and once in each of their pages, which holds for a whole class or none of it
+    named = vectors.where("kind = 0 and token != 0 and role != '' and mass > 0 and n = pages").join(hosts, F.col("host") == F.col("_h")).where(F.col("pages") >= support * F.col("all_pages"))
+    paths = named.groupBy("host", "role").agg(F.sort_array(F.collect_list("token")).alias("paths"))  # a role's paths in one template
     slots = paths.groupBy("host").agg(F.min_by("paths", "role").alias("slots"))  # article sorts before main
-    # classes of blocks: in how many different pages
+    # classes of blocks: with a long one, and in how many different pages, which one member tells
     contents = rows.where("kind = 0 and token = 0").select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("all_pages")).withColumnRenamed("host", "_h")
-    often = vectors.where((F.col("kind") == 1) & (F.col("pages") >= FIXED_PAGES)).select(F.col("host").alias("_o"), F.col("token").alias("_t"), "vector")
-    blocks = rows.where("kind = 1").join(often, (F.col("host") == F.col("_o")) & (F.col("token") == F.col("_t"))).select("host", "vector", "token", "content").distinct()
-    blocks = blocks.groupBy("host", "vector", "token").agg(F.count("*").alias("pages")).join(contents, F.col("host") == F.col("_h"))
-    fixed = blocks.where((F.col("pages") >= FIXED_PAGES) & (F.col("pages") >= support * F.col("all_pages")))
+    often = vectors.where((F.col("kind") == 1) & (F.col("pages") >= FIXED_PAGES)).select("host", "vector", "token", (F.col("mass") >= FIXED_WORDS * F.col("pages")).alias("long"))
+    classes = often.groupBy("host", "vector").agg(F.max("long").alias("long"), F.min("token").alias("_t")).where("long").select(F.col("host").alias("_o"), F.col("vector").alias("_v"), "_t")
+    seen = rows.where("kind = 1").join(classes, (F.col("host") == F.col("_o")) & (F.col("token") == F.col("_t"))).select("host", "_v", "content").distinct()
+    seen = seen.groupBy("host", "_v").agg(F.count("*").alias("pages")).join(contents, F.col("host") == F.col("_h"))
+    valid = seen.where((F.col("pages") >= FIXED_PAGES) & (F.col("pages") >= support * F.col("all_pages"))).select(F.col("host").alias("_o"), "_v")
+    fixed = often.join(valid, (F.col("host") == F.col("_o")) & (F.col("vector") == F.col("_v"))).select("host", "token")
     return slots.join(fixed.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("fixed")), "host", "full")
 
 

@@ -117,3 +117,29 @@ def test_the_template_changes_the_text_and_extra_columns_do_not(spark):
     got = sorted((r.page_id or 0, r.text) for r in html_text.op7_html(clash).collect())
     assert got == [(k, f"{w} is new") for k, w in enumerate(("ants", "bees", "cats", "dogs"))]
     assert all(html_text.extract(r[2]).endswith("Call us any time") for r in rows)
+
+
+def test_a_class_of_blocks_is_left_out_as_one(spark):
+    # "Advert" is in the class of the notice, "Update" and "Yes" are in classes without a longer block
+    body = '<body><article><h1>On %s</h1><p>Call us any time</p><p>Advert</p>%s<p>%s went to town</p>%s</article>'
+    words = ["ants", "bees", "cats", "dogs", "eels", "fish"]
+    made = lambda k, w: body % (w, "<p>Update</p>" if k else "", w, "<p>Yes</p>" * 2)
+    rows = [(k, "http://c.com/%d" % k, made(k, w)) for k, w in enumerate(words)]
+    # the same class on a host where too few pages have it, and one without the notice
+    rows += [(10 + k, "http://few.com/%d" % k, made(k, w) if k < 2 else f"<article><p>{w} stayed at home</p><p>Advert</p></article>") for k, w in enumerate(words)]
+    rows += [(20 + k, "http://none.com/%d" % k, made(k, w).replace("<p>Call us any time</p>", "")) for k, w in enumerate(words)]
+    got = {r.page_id: r.text for r in html_text.op7_html(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, w in enumerate(words):
+        update = "Update\n" if k else ""
+        assert got[k] == f"On {w}\n{update}{w} went to town\nYes\nYes"
+        assert got[10 + k] == (f"On {w}\nCall us any time\nAdvert\n{update}{w} went to town\nYes\nYes" if k < 2 else f"{w} stayed at home\nAdvert")
+        assert got[20 + k] == f"On {w}\nAdvert\n{update}{w} went to town\nYes\nYes"
+
+
+def test_the_template_tells_the_article_from_repeated_ones(spark):
+    body = '<body><article class="story"><p>%s went home</p></article><article class="more"><p>see %s</p></article><article class="more"><p>or %s</p></article>'
+    words = ["ants", "bees", "cats", "dogs"]
+    rows = [(k, "http://s.com/%d" % k, body % (w, w, w)) for k, w in enumerate(words)]
+    got = {r.page_id: r.text for r in html_text.op7_html(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"{w} went home" for k, w in enumerate(words)}
+    assert html_text.extract(rows[0][2]) == "ants went home\nsee ants\nor ants"
